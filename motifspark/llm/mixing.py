@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import parts, written
 
 #: Spaces as the contracts count them.
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -87,7 +87,7 @@ def slots(plan: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
     """shard, source, slot, block, epoch: every draw of the mix."""
     chunk = 4096  # two explodes: no row ever holds more than a chunk's indices
     starts = plan.filter("slots > 0").select("source", "blocks", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {chunk}"))).alias("c"))
-    starts = starts.repartition(F.col("source"), F.col("c"))
+    starts = starts.repartition(parts(plan.sparkSession), "source", "c")
     each = starts.select("source", "blocks", F.explode(F.sequence(F.col("c") * chunk, F.least(F.col("slots"), (F.col("c") + 1) * chunk) - 1)).alias("slot"))
     key = F.coalesce(F.xxhash64(F.lit(seed), "source"), F.lit(0).cast("long"))
     epoch = F.expr("slot div blocks")
@@ -135,9 +135,10 @@ def drawn_words(docs: DataFrame, seed: int = 0, **kw) -> DataFrame:
     sizes = _sizes(docs)
     plan = written(sources_plan(sizes, **kw), "mix-plan")
     times = slots(plan, seed=seed).groupBy("source", "block").agg(F.count("*").alias("times")).withColumnsRenamed({"source": "_s", "block": "_b"})
-    parts = overlaps(sizes, plan)
+    own = overlaps(sizes, plan)
+    # The planner sees a few sources and no explode: without the hint it would broadcast all slots.
     # A document's blocks follow each other, so its parts meet again after a partial sum.
-    each = parts.join(times, parts["source"].eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b"))).select("row", "doc_id", "source", "size", (F.col("n") * F.col("times")).alias("w"))
+    each = own.join(times.hint("merge"), own["source"].eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b"))).select("row", "doc_id", "source", "size", (F.col("n") * F.col("times")).alias("w"))
     empty = sizes.select("row", "doc_id", "source", "size", F.lit(0).cast("long").alias("w"), F.lit(1).alias("c"))
     # Equal rows (all four columns) share their sum evenly; they are the same text twice.
     sums = each.withColumn("c", F.lit(0)).unionByName(empty).groupBy("row", "doc_id", "source", "size").agg(F.sum("w").alias("w"), F.sum("c").alias("c"))
@@ -156,13 +157,13 @@ def mixed(docs: DataFrame, seed: int = 0, **kw) -> DataFrame:
     sizes = _sizes(docs)
     plan = written(sources_plan(sizes, **kw), "mix-plan")
     draws = slots(plan, seed=seed).select(F.col("source").alias("_s"), F.col("block").alias("_b"), "epoch")
-    parts = overlaps(sizes, plan)
+    own = overlaps(sizes, plan)
     key = ["row", "doc_id", "source", "size"]
-    got = parts.join(draws, parts["source"].eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
+    got = own.join(draws.hint("merge"), own["source"].eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
     got = got.groupBy(*key, "epoch").agg(F.array_sort(F.collect_set(F.struct("first", "n"))).alias("runs"), F.least(F.sum("n"), F.col("size")).alias("taken"))
     got = got.select(F.col("row").alias("_row"), F.col("doc_id").alias("_id"), "epoch", "runs", (F.col("taken") == F.col("size")).alias("whole"))
-    own = docs.withColumn("_key", F.xxhash64("text", "source"))
-    both = own.join(got, own["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")))
+    full = docs.withColumn("_key", F.xxhash64("text", "source"))
+    both = full.join(got, full["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")))
     words = F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))
     some = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(words, (r["first"] + 1).cast("int"), r["n"].cast("int")))), " ")
     text = F.when(F.col("whole"), F.col("text")).otherwise(some)
