@@ -1,3 +1,279 @@
-"""All queries by name."""
+"""All queries by name, and the SQL that gives the same rows.
+
+Queries run on two graphs of the test tables (testgraphs.py): ``entities`` (six labels) and
+``purchases`` (twenty). Patterns are matched by a generated plan; their SQL is the plain
+chain of self-joins.
+"""
+
+from __future__ import annotations
+
+import random
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import testgraphs
+from .functions import stats
+from .operators import candidates as cand
+from .operators import index, matcher, reorder, results
+from .plans import generate, planner
+from .plans.planner import Pattern
+from .sources import text
+
+ENTITIES = """
+WITH v AS (
+  SELECT CAST(r_regionkey AS BIGINT) * 8 AS id, 0 AS raw_label FROM region
+  UNION ALL SELECT CAST(n_nationkey AS BIGINT) * 8 + 1, 1 FROM nation
+  UNION ALL SELECT c_custkey * 8 + 2, 2 FROM customer
+  UNION ALL SELECT s_suppkey * 8 + 3, 3 FROM supplier
+  UNION ALL SELECT p_partkey * 8 + 4, 4 FROM part
+  UNION ALL SELECT o_orderkey * 8 + 5, 5 FROM orders
+), one AS (
+  SELECT CAST(n_nationkey AS BIGINT) * 8 + 1 AS s, CAST(n_regionkey AS BIGINT) * 8 AS d FROM nation
+  UNION SELECT c_custkey * 8 + 2, CAST(c_nationkey AS BIGINT) * 8 + 1 FROM customer
+  UNION SELECT s_suppkey * 8 + 3, CAST(s_nationkey AS BIGINT) * 8 + 1 FROM supplier
+  UNION SELECT o_orderkey * 8 + 5, o_custkey * 8 + 2 FROM orders
+  UNION SELECT l_orderkey * 8 + 5, l_partkey * 8 + 4 FROM lineitem
+  UNION SELECT l_orderkey * 8 + 5, l_suppkey * 8 + 3 FROM lineitem
+  UNION SELECT l_partkey * 8 + 4, l_suppkey * 8 + 3 FROM lineitem
+)"""
+PURCHASES = """
+WITH v AS (
+  SELECT CAST(p_partkey AS BIGINT) AS id, p_size % {labels} AS raw_label FROM part
+), one AS (
+  SELECT DISTINCT CAST(a.l_partkey AS BIGINT) AS s, CAST(b.l_partkey AS BIGINT) AS d
+  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey
+)"""
+GRAPH = """, lab AS MATERIALIZED (
+  SELECT raw_label, CAST(row_number() OVER (ORDER BY min(id)) - 1 AS BIGINT) AS label FROM v GROUP BY raw_label
+), vx AS MATERIALIZED (
+  SELECT id, label, raw_label FROM v JOIN lab USING (raw_label)
+), arcs AS MATERIALIZED (
+  SELECT e.u, x.label AS lu, e.v, y.label AS lv
+  FROM (SELECT s AS u, d AS v FROM one UNION SELECT d, s FROM one) e
+  JOIN vx x ON x.id = e.u JOIN vx y ON y.id = e.v WHERE e.u <> e.v
+), ld AS MATERIALIZED (
+  SELECT u, lu, lv, count(*) AS deg FROM arcs GROUP BY u, lu, lv
+), pmd AS (
+  SELECT id, vx.label, coalesce(max(deg), 0) AS pmd FROM vx LEFT JOIN ld ON ld.u = vx.id GROUP BY id, vx.label
+), mask AS (
+  SELECT id, vx.label, coalesce(CAST(sum(CAST(1 AS BIGINT) << CAST(lv AS INTEGER)) AS BIGINT), 0) AS mask, count(lv) AS bits, coalesce(CAST(sum(deg) AS BIGINT), 0) AS degree
+  FROM vx LEFT JOIN ld ON ld.u = vx.id GROUP BY id, vx.label
+), loff AS (
+  SELECT label, CAST(sum(n) OVER (ORDER BY label) - n AS BIGINT) AS start, CAST(sum(n) OVER (ORDER BY label) AS BIGINT) AS stop
+  FROM (SELECT label, count(*) AS n FROM vx GROUP BY label)
+)
+"""
+E, P = ENTITIES + GRAPH, PURCHASES.replace("{labels}", "20") + GRAPH
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _add(name: str, make, sql: str | None = None) -> None:
+    QUERIES[name] = make
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+def _on(graph, f):
+    return lambda spark, d: f(graph(spark, d))
+
+
+EN, PU = testgraphs.entities, testgraphs.purchases
+B = "CAST({} AS BIGINT) AS {}".format
+
+# Statistics.
+_add("graph_summary", _on(EN, stats.graph_summary), E + """
+SELECT (SELECT count(*) FROM vx) AS vertices, (SELECT count(*) FROM arcs) // 2 AS edges, (SELECT count(*) FROM lab) AS labels,
+       (SELECT CAST(max(degree) AS BIGINT) FROM mask) AS max_degree, (SELECT CAST(sum(degree) // count(*) AS BIGINT) FROM mask) AS avg_degree,
+       (SELECT CAST(max(pmd) AS BIGINT) FROM pmd) AS partition_max_degree""")
+_add("vertex_degree", _on(EN, stats.vertex_degree), E + "SELECT id, degree FROM mask")
+_add("label_histogram", _on(PU, stats.label_histogram), P + "SELECT label, count(*) AS vertices FROM vx GROUP BY label")
+_add("label_offsets", _on(PU, stats.label_offsets), P + "SELECT label, start, stop FROM loff")
+_add("label_degree", _on(PU, stats.label_degree), P + "SELECT u AS id, lv AS neighbor_label, deg AS degree FROM ld")
+_add("partition_max_degree", _on(EN, stats.partition_max_degree), E + "SELECT id, CAST(pmd AS BIGINT) AS partition_max_degree FROM pmd")
+_add("two_hop_label_degree", _on(EN, stats.two_hop_label_degree), E + "SELECT a.u AS id, d.lv AS neighbor_label, CAST(sum(d.deg) AS BIGINT) AS two_hop FROM arcs a JOIN ld d ON d.u = a.v GROUP BY 1, 2")
+_add("hub_count", _on(EN, lambda g: stats.hub_count(g, 100)), E + "SELECT count(*) AS hubs FROM pmd WHERE pmd >= 100")
+_add("label_pair_cardinality", _on(PU, stats.label_pair_cardinality), P + "SELECT lu AS label, lv AS neighbor_label, count(DISTINCT u) AS vertices FROM arcs GROUP BY 1, 2")
+_add("adjacency_lists", _on(PU, stats.adjacency_lists), P + "SELECT u AS id, string_agg(CAST(v AS VARCHAR), ' ' ORDER BY v) AS neighbors FROM arcs GROUP BY u")
+
+# Index.
+_add("label_dictionary", _on(PU, lambda g: g.labels.select(F.col("raw_label").cast("long").alias("raw_label"), F.col("label").cast("long").alias("label"))),
+     P + f"SELECT {B('raw_label', 'raw_label')}, label FROM lab")
+NEW = "SELECT id, vx.label, loff.start + row_number() OVER (PARTITION BY vx.label ORDER BY {}id) - 1 AS new_id FROM vx JOIN loff USING (label)"
+_add("label_partition_ids", _on(PU, index.partition_ids), P + NEW.format(""))
+ADDRESS = "SELECT id, mask, CAST(coalesce(sum(bits) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS address FROM mask"
+_add("lpcsr_neighborhood", _on(PU, index.neighborhood), P + ADDRESS)
+SLOTS = """SELECT u AS id, lv AS neighbor_label, row_number() OVER (PARTITION BY lv ORDER BY u) - 1 AS ordinal,
+  CAST(sum(deg) OVER (PARTITION BY lv ORDER BY u) - deg AS BIGINT) AS "begin", CAST(sum(deg) OVER (PARTITION BY lv ORDER BY u) AS BIGINT) AS stop FROM ld"""
+_add("lpcsr_index", _on(PU, lambda g: index.slots(g).select("id", "neighbor_label", "ordinal")), P + f"SELECT id, neighbor_label, ordinal FROM ({SLOTS})")
+_add("lpcsr_offsets", _on(PU, lambda g: index.slots(g).select("neighbor_label", "ordinal", "begin", "stop")), P + f'SELECT neighbor_label, ordinal, "begin", stop FROM ({SLOTS})')
+ENTRIES = "SELECT u AS id, lv AS neighbor_label, row_number() OVER (PARTITION BY u, lv ORDER BY v) - 1 AS position, v AS neighbor FROM arcs"
+_add("lpcsr_adjacency", _on(PU, index.adjacency_rows), P + ENTRIES)
+FREE = "arcs a WHERE NOT EXISTS (SELECT 1 FROM pmd WHERE pmd.id = a.u AND pmd >= {0}) AND NOT EXISTS (SELECT 1 FROM pmd WHERE pmd.id = a.v AND pmd >= {0})"
+_add("lpcsr_without_hubs", _on(PU, lambda g: index.adjacency_rows(index.without_hubs(g, 15))), P + ENTRIES.replace("FROM arcs", "FROM " + FREE.format(15)))
+_add("lpcsr_slot_lookup", _on(PU, index.slot_lookup), P + f"SELECT a.id, d.lv AS neighbor_label, CAST(a.address + row_number() OVER (PARTITION BY d.u ORDER BY d.lv) - 1 AS BIGINT) AS slot FROM ({ADDRESS}) a JOIN ld d ON d.u = a.id")
+_add("io_relabelled_graph", _on(PU, lambda g: index.edges(index.relabelled(g, index.partition_ids(g)))), P + f"""
+, ids AS MATERIALIZED ({NEW.format('')}) SELECT x.new_id AS src, y.new_id AS dst FROM arcs JOIN ids x ON x.id = u JOIN ids y ON y.id = v WHERE x.new_id < y.new_id""")
+
+# Filters and exports.
+_add("export_without_hubs", _on(EN, lambda g: index.edges(index.without_hubs(g, 100))), E + "SELECT a.u AS src, a.v AS dst FROM " + FREE.format(100) + " AND a.u < a.v")
+_add("export_without_vertex", _on(PU, lambda g: index.edges(index.without_vertex(g, 7))), P + "SELECT u AS src, v AS dst FROM arcs WHERE u < v AND u <> 7 AND v <> 7")
+_add("has_edge_pairs", _on(PU, lambda g: cand.has_edges(g, g.vertices.select(F.col("id").alias("a"), F.explode(F.array(*(F.pmod(F.col("id") * k + 1, F.lit(200)) for k in (3, 7, 11)))).alias("b")).distinct())),
+     P + "SELECT DISTINCT p.a, p.b FROM (SELECT id AS a, unnest([(id * 3 + 1) % 200, (id * 7 + 1) % 200, (id * 11 + 1) % 200]) AS b FROM vx) p JOIN arcs ON u = p.a AND v = p.b")
+_add("io_export_edges", _on(PU, lambda g: text.graph_lines(g).select("value")), P + """
+SELECT 't ' || (SELECT count(*) FROM vx) || ' ' || (SELECT count(*) // 2 FROM arcs) AS value
+UNION ALL SELECT 'v ' || id || ' ' || raw_label FROM vx UNION ALL SELECT 'e ' || u || ' ' || v || ' 0' FROM arcs WHERE u < v""")
+
+
+def _through(write, read):
+    """Write the graph to a scratch folder, read it back, and list its edges with the ends' raw labels."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        import uuid
+
+        root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        path = f"{root}/graph-{uuid.uuid4().hex}"
+        write(PU(spark, d), path)
+        g = read(spark, path)
+        raw = g.labels.select(F.col("label"), F.col("raw_label").cast("long").alias("raw_label"))
+        a = g.arcs.filter("u < v").join(raw.toDF("lu", "src_label"), "lu").join(raw.toDF("lv", "dst_label"), "lv")
+        return a.select(F.col("u").alias("src"), "src_label", F.col("v").alias("dst"), "dst_label")
+
+    return run
+
+
+BACK = P + f"SELECT a.u AS src, {B('x.raw_label', 'src_label')}, a.v AS dst, {B('y.raw_label', 'dst_label')} FROM arcs a JOIN vx x ON x.id = a.u JOIN vx y ON y.id = a.v WHERE a.u < a.v"
+_add("io_load_graph", _through(text.write_graph, text.read_graph), BACK)
+_add("io_roundtrip", _through(index.save, index.load), BACK)
+
+
+# Patterns: graph, edges, raw labels.
+PATTERNS = {
+    "match_edge": (PU, "01", (2, 7)),
+    "match_wedge": (PU, "01 02", (3, 6, 17)),
+    "match_path": (PU, "01 12 23", (1, 2, 3, 4)),
+    "match_star": (PU, "01 02 03", (6, 12, 9, 1)),
+    "match_triangle": (PU, "01 02 12", (15, 13, 14)),
+    "match_tailed_triangle": (PU, "01 02 03 23", (4, 11, 8, 2)),
+    "match_cycle4": (PU, "01 03 12 23", (1, 2, 3, 4)),
+    "match_diamond": (PU, "01 02 03 12 23", (5, 6, 7, 8)),
+    "match_clique4": (PU, "01 02 03 12 13 23", (6, 12, 9, 1)),
+    "match_v5_1": (PU, "01 12 13 14 24", (9, 2, 3, 18, 8)),
+    "match_v5_3": (PU, "01 02 04 13 24", (10, 11, 12, 13, 14)),
+    "match_house": (PU, "01 02 04 13 24 34", (0, 1, 2, 3, 4)),
+    "match_v6_2": (PU, "01 02 05 12 13 23 24 25 45", (13, 2, 10, 16, 1, 5)),
+    "match_v6_4": (PU, "01 12 13 14 15 23 24", (1, 3, 5, 7, 9, 11)),
+    "match_samelabel_wedge": (PU, "01 02", (3, 6, 6)),
+    "match_samelabel_triangle": (PU, "01 02 12", (4, 4, 4)),
+    "match_samelabel_leaf": (PU, "01 12 23", (1, 2, 3, 1)),
+    "match_vertex": (PU, "", (5,)),
+    "match_triangle_entities": (EN, "01 02 12", (5, 4, 3)),
+    "match_cycle_entities": (EN, "01 12 23 03", (5, 3, 1, 2)),
+    "match_path_entities": (EN, "01 12 23", (0, 1, 2, 5)),
+    "match_star_entities": (EN, "01 02 03", (1, 0, 2, 3)),
+    "match_two_customers": (EN, "01 02", (1, 2, 2)),
+    "match_two_suppliers": (EN, "01 02 03 12 13", (5, 4, 3, 3)),
+    "match_empty": (EN, "01 12", (0, 4, 5)),
+}
+
+
+def pattern_sql(p: Pattern, base: str, distinct: bool = True, where: str = "", leaf_free: bool = False, count: bool = False) -> str:
+    """The self-join chain of a pattern, a table a step: an arcs instance an edge, in an order that stays connected."""
+    order = planner.join_order(p, [0.0 if v not in p.leaves() else 1.0 for v in range(p.n)])
+    raw = lambda v: f"(SELECT label FROM lab WHERE raw_label = {p.labels[v]})"
+    tables = [f"s0 AS MATERIALIZED (SELECT c.id AS m{order[0]} FROM vx c WHERE c.label = {raw(order[0])}{where.format(seed='c.id')})"]
+    done = [order[0]]
+    for k, s in enumerate(planner.steps(p, order)[1:], 1):
+        new, (first, *more) = f"m{s.vertex}", s.anchors
+        joins = f"JOIN arcs a0 ON a0.u = t.m{first} AND a0.lv = {raw(s.vertex)}"
+        joins += "".join(f" JOIN arcs a{i} ON a{i}.u = t.m{a} AND a{i}.v = a0.v" for i, a in enumerate(more, 1))
+        unlike = [f"a0.v <> t.m{o}" for o in s.same] if distinct and not (leaf_free and s.leaf) else []
+        tables.append(f"s{k} AS MATERIALIZED (SELECT {', '.join(f't.m{v}' for v in done)}, a0.v AS {new} FROM s{k - 1} t {joins}{' WHERE ' + ' AND '.join(unlike) if unlike else ''})")
+        done.append(s.vertex)
+    return f"{base}, {', '.join(tables)} SELECT {'count(*) AS embeddings' if count else ', '.join(f'm{v}' for v in range(p.n))} FROM s{p.n - 1}"
+
+
+def _matching(graph, p: Pattern, **kw):
+    return lambda spark, d: matcher.match(graph(spark, d), p, **kw)
+
+
+for _name, (_graph, _edges, _labels) in PATTERNS.items():
+    _p = Pattern.of(_labels, _edges)
+    _base = E if _graph is EN else P
+    _add(_name, _matching(_graph, _p), pattern_sql(_p, _base))
+for _name in ("match_triangle", "match_clique4", "match_house", "match_two_suppliers"):
+    _graph, _edges, _labels = PATTERNS[_name]
+    _p = Pattern.of(_labels, _edges)
+    _add(f"{_name}_by_joins", _matching(_graph, _p, strategy="join"), pattern_sql(_p, E if _graph is EN else P))
+_p = Pattern.of((1, 2, 3, 1), "01 12 23")
+_add("match_leaves_repeat", _matching(PU, _p, leaf_injective=False), pattern_sql(_p, P, leaf_free=True))
+_add("match_homomorphism", _matching(PU, _p, semantics="homomorphism"), pattern_sql(_p, P, distinct=False))
+_wedge = Pattern.of((3, 6, 17), "01 02")
+_add("match_from_hubs", lambda spark, d: matcher.from_hubs(PU(spark, d), _wedge, 15), pattern_sql(_wedge, P, where=" AND EXISTS (SELECT 1 FROM pmd WHERE pmd.id = {seed} AND pmd >= 15)"))
+
+# Candidates.
+for _name in ("match_triangle", "match_cycle4"):
+    _graph, _edges, _labels = PATTERNS[_name]
+    _p = Pattern.of(_labels, _edges)
+
+    def _cands(spark, d, p=_p, graph=_graph):
+        g = graph(spark, d)
+        dense = cand.dense_labels(g, p)
+        out = None
+        for v in range(p.n):
+            own = cand.candidates(g, p, dense, v).select(F.lit(v).cast("long").alias("q"), "id")
+            out = own if out is None else out.union(own)
+        return out
+
+    _has = lambda p, v: "".join(f" AND EXISTS (SELECT 1 FROM arcs a WHERE a.u = vx.id AND a.lv = (SELECT label FROM lab WHERE raw_label = {p.labels[w]}))" for w in p.neighbors(v))
+    _sql = " UNION ALL ".join(f"SELECT CAST({v} AS BIGINT) AS q, id FROM vx WHERE raw_label = {_p.labels[v]}{_has(_p, v)}" for v in range(_p.n))
+    _add(_name.replace("match_", "candidates_"), _cands, P + _sql)
+    if _name == "match_cycle4":
+        def _counts(spark, d, p=_p):
+            g = PU(spark, d)
+            dense = cand.dense_labels(g, p)
+            rows = list(zip(range(p.n), cand.candidate_counts(g, p, dense), cand.seed_counts(g, p, dense)))
+            return spark.createDataFrame(rows, "q long, candidates long, seed long")
+
+        _seed = lambda p, v: "least(" + ", ".join(f"(SELECT count(DISTINCT u) FROM arcs WHERE lu = (SELECT label FROM lab WHERE raw_label = {p.labels[v]}) AND lv = (SELECT label FROM lab WHERE raw_label = {p.labels[w]}))" for w in p.neighbors(v)) + ")"
+        _add("candidate_counts", _counts, P + " UNION ALL ".join(
+            f"SELECT CAST({v} AS BIGINT) AS q, (SELECT count(*) FROM vx WHERE raw_label = {_p.labels[v]}{_has(_p, v)}) AS candidates, {_seed(_p, v)} AS seed" for v in range(_p.n)))
+
+# Counts.
+for _name, _of in (("count_star_factorized", "match_star"), ("count_path_factorized", "match_path"), ("count_v6_4_factorized", "match_v6_4"), ("count_samelabel_leaves", "match_samelabel_wedge"), ("count_triangle", "match_triangle_entities")):
+    _graph, _edges, _labels = PATTERNS[_of]
+    _p = Pattern.of(_labels, _edges)
+    _base = E if _graph is EN else P
+    _add(_name, (lambda spark, d, g=_graph, p=_p: matcher.count(g(spark, d), p)), pattern_sql(_p, _base, count=True))
+_add("count_unlabelled_triangles", lambda spark, d: matcher.count(testgraphs.unlabelled(spark, d), Pattern.of((0, 0, 0), "01 02 12")),
+     PURCHASES.replace("{labels}", "1") + GRAPH + "SELECT 6 * count(*) AS embeddings FROM arcs a JOIN arcs b ON b.u = a.v AND b.v > b.u JOIN arcs c ON c.u = a.u AND c.v = b.v WHERE a.u < a.v")
+
+# Reordering.
+_add("reorder_degree", _on(PU, reorder.by_degree), P + """
+SELECT m.id, m.label, loff.start + row_number() OVER (PARTITION BY m.label ORDER BY m.degree, m.id) - 1 AS new_id FROM mask m JOIN loff USING (label)""")
+_add("reorder_hubs_last", _on(PU, lambda g: reorder.hubs_last(g, 15)), P + """
+SELECT m.id, m.label, loff.start + row_number() OVER (PARTITION BY m.label ORDER BY m.pmd > 15, m.id) - 1 AS new_id FROM pmd m JOIN loff USING (label)""")
+COMMON = "SELECT x.u AS a, y.u AS b, x.lv AS neighbor_label, count(*) AS common FROM arcs x JOIN arcs y ON x.v = y.v AND x.lu = y.lu AND x.u < y.u GROUP BY 1, 2, 3"
+_add("common_neighbor_counts", _on(PU, reorder.common_neighbors), P + COMMON)
+_add("topk_common_neighbors", _on(PU, lambda g: reorder.top_common(g, 5)), P + f"""
+, pair AS MATERIALIZED (SELECT a, b, CAST(sum(common) AS BIGINT) AS common FROM ({COMMON}) GROUP BY a, b),
+pairs AS (SELECT a, b, common FROM pair UNION ALL SELECT b, a, common FROM pair),
+r AS (SELECT a, row_number() OVER (PARTITION BY a ORDER BY common DESC, b) AS "rank", b, common FROM pairs) SELECT a, "rank", b, common FROM r WHERE "rank" <= 5""")
+_add("reorder_locality", _on(PU, reorder.locality))
+
+# Plans and generated workloads: rows only.
+_house = Pattern.of((0, 1, 2, 3, 4), "01 02 04 13 24 34")
+
+
+def _order(spark: SparkSession, d: str) -> DataFrame:
+    todo, counts = matcher.plan(PU(spark, d), _house)
+    rows = [(i, s.vertex, ",".join(map(str, s.anchors)), s.leaf, counts[s.vertex]) for i, s in enumerate(todo)]
+    return spark.createDataFrame(rows, "step int, vertex int, anchors string, leaf boolean, candidates long")
+
+
+_add("join_order", _order)
+_add("match_profile", lambda spark, d: results.profile(PU(spark, d), _house))
+_add("match_limit", _matching(PU, Pattern.of((1, 2, 3, 4), "01 12 23"), limit=100))
+_add("generated_query_match", lambda spark, d: matcher.match(PU(spark, d), generate.labelled(generate.topology(4, random.Random(5)), 20, random.Random(6))))

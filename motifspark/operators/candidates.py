@@ -41,15 +41,22 @@ def candidate_counts(g: LabeledGraph, pattern: Pattern, dense: list[int]) -> lis
     return [row[f"c{v}"] for v in range(pattern.n)]
 
 
-def seed_counts(g: LabeledGraph, pattern: Pattern, dense: list[int]) -> list[int]:
-    """For each pattern vertex its smallest (label, neighbour label) list."""
+def label_pairs(g: LabeledGraph, pattern: Pattern, dense: list[int]) -> dict[tuple[int, int], tuple[int, float]]:
+    """For each (label, neighbour label) of the pattern's edges: its vertices, and their mean degree to the other label."""
     pairs = {(dense[v], dense[w]) for v in range(pattern.n) for w in pattern.neighbors(v)}
     if not pairs:
-        return [g.vertices.filter(F.col("label") == d).count() for d in dense]
+        return {}
     want = reduce(lambda a, b: a | b, ((F.col("lu") == a) & (F.col("lv") == b) for a, b in pairs))
-    rows = g.adjacency().filter(want).groupBy("lu", "lv").agg(F.count("*").alias("n")).collect()  # two rows a pattern edge at most
-    n = {(r["lu"], r["lv"]): r["n"] for r in rows}
-    return [min(n.get((dense[v], dense[w]), 0) for w in pattern.neighbors(v)) for v in range(pattern.n)]
+    rows = g.adjacency().filter(want).groupBy("lu", "lv").agg(F.count("*").alias("n"), F.avg("deg").alias("d")).collect()  # two rows a pattern edge at most
+    return {(r["lu"], r["lv"]): (r["n"], r["d"]) for r in rows}
+
+
+def seed_counts(g: LabeledGraph, pattern: Pattern, dense: list[int]) -> list[int]:
+    """For each pattern vertex its smallest (label, neighbour label) list."""
+    if pattern.n == 1:
+        return [g.vertices.filter(F.col("label") == dense[0]).count()]
+    known = label_pairs(g, pattern, dense)
+    return [min(known.get((dense[v], dense[w]), (0, 0))[0] for w in pattern.neighbors(v)) for v in range(pattern.n)]
 
 
 def has_edges(g: LabeledGraph, pairs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions.stats import partition_max_degree
 from ..graph import LabeledGraph
 from ..plans import planner
 from ..plans.planner import Pattern, Step
-from .candidates import candidate_counts, candidates, dense_labels, fits
+from .candidates import candidate_counts, candidates, dense_labels, fits, label_pairs
 
 
 def empty(g: LabeledGraph, pattern: Pattern) -> DataFrame:
@@ -50,10 +50,12 @@ def match(g: LabeledGraph, pattern: Pattern, strategy: str = "auto", semantics:
     if seeds is not None:
         df = df.join(seeds.select(F.col("id").alias(f"m{first}")).distinct(), f"m{first}", "left_semi")
     done = [first]
+    # A step with several anchors starts from the one of least mean degree to the new label.
+    fan = label_pairs(g, pattern, dense) if any(len(s.anchors) > 1 for s in todo) else {}
     for step in todo[1:]:
         if only is not None and step.vertex not in only:
             continue
-        df = extend(g, df, pattern, dense, step, strategy)
+        df = extend(g, df, pattern, dense, step, strategy, fan)
         if semantics == "isomorphism" and (leaf_injective or not step.leaf):
             for other in step.same:
                 df = df.filter(F.col(f"m{step.vertex}") != F.col(f"m{other}"))
@@ -62,13 +64,14 @@ def match(g: LabeledGraph, pattern: Pattern, strategy: str = "auto", semantics:
     return df.limit(limit) if limit is not None else df
 
 
-def extend(g: LabeledGraph, df: DataFrame, pattern: Pattern, dense: list[int], step: Step, strategy: str) -> DataFrame:
+def extend(g: LabeledGraph, df: DataFrame, pattern: Pattern, dense: list[int], step: Step, strategy: str, fan: dict | None = None) -> DataFrame:
     """The rows of ``df``, each with every data vertex next to all the step's anchors."""
-    new, (first, *more) = f"m{step.vertex}", step.anchors
     label = dense[step.vertex]
+    anchors = sorted(step.anchors, key=lambda a: (fan or {}).get((dense[a], label), (0, 0.0))[1])
+    new, (first, *more) = f"m{step.vertex}", anchors
     if more and strategy != "join":
         lists = []
-        for k, a in enumerate(step.anchors):
+        for k, a in enumerate(anchors):
             own = g.adjacency().filter((F.col("lu") == dense[a]) & (F.col("lv") == label)).select(F.col("u").alias(f"m{a}"), F.col("nbrs").alias(f"_n{k}"))
             df = df.join(own, f"m{a}")
             lists.append(F.col(f"_n{k}"))
