@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import WordScores, bounded, by_document, grid, small_batches, spans, text_chunks
 
-SAMPLE, BITS, DIM, LONGEST, GRAMS = 1500, 16, 10, 40, (1, 2, 3, 4)
+SAMPLE, BITS, DIM, LONGEST, GRAMS = 600, 16, 10, 40, (1, 2, 3, 4)
 REPEAT = (1 << BITS) + 1  # the row of the repetition mark; 1 << BITS is padding
 
 
@@ -116,7 +116,7 @@ class QualityModel:
             rows = np.concatenate([*parts, np.array([REPEAT] * bool(twice), np.int64)]) if len(t) else np.zeros(0, np.int64)
             w = np.concatenate([*(np.full(len(p), c / size / len(p)) for p, c in zip(parts, count)), np.array([twice / size] * bool(twice))]) if len(t) else np.zeros(0)
             u, inv = np.unique(rows, return_inverse=True)
-            out.append((u, np.bincount(inv, w, len(u))))
+            out.append((u.astype(np.int32), np.bincount(inv, w, len(u)).astype(np.float32)))
         return out
 
 

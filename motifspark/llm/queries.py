@@ -73,13 +73,13 @@ QUERIES = {f.__name__: f for f in (
 ORACLE_SQL = {
     "op1_exact_topk": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
   FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, p.vec_id AS vec_id,
-         CAST(list_sum(list_transform(list_zip(q.c, p.c), z -> z[1] * z[2])) AS BIGINT) AS score
+         CAST(list_sum(list_transform(list_zip(q.c, p.c), lambda z: z[1] * z[2])) AS BIGINT) AS score
   FROM v q JOIN v p ON q.vec_id <> p.vec_id AND len(q.c) = len(p.c)
   WHERE q.vec_id % 100 = 0
 ), r AS (

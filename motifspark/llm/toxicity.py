@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import WordScores, bounded, by_document, small_batches, text_chunks
 
-SAMPLE = 2500
+SAMPLE = 1000
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END, HINT = range(8)
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;\n\r]")
 
@@ -168,7 +169,8 @@ class ToxicModel:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
     def fit(self, texts: list[str], labels: np.ndarray) -> "ToxicModel":
-        toks = [tokens_of(t) for t in texts]
+        one: dict[str, str] = {}  # a word is kept once
+        toks = [[one.setdefault(w, w) for w in tokens_of(t)] for t in texts]
         self._learn_words(toks, labels)
         x = np.zeros((len(toks), len(KINDS)))
         known: dict[str, tuple[int, float]] = {}
@@ -183,18 +185,26 @@ class ToxicModel:
 
     def _learn_words(self, toks: list[list[str]], labels: np.ndarray, longest: int = 7, proof: float = 16.0) -> None:
         """Insults: words, and beginnings of words, that stand almost only in toxic texts."""
-        seen: list[dict[str, set]] = [{}, {}]
-        mass = [1, 1]
+        def beginnings(w: str) -> Iterator[str]:
+            yield from (w[:k] for k in range(3, min(len(w) - 1, longest) + 1))
+            yield w + "$"
+
+        mass, raw = [1, 1], [Counter(), Counter()]
         for t, y in zip(toks, labels):
             mass[y] += len(t)
-            for i, w in enumerate(t):
-                if w in ".!?;\n\r":
-                    continue
-                near = hash((t[i - 1] if i else "", t[i + 1] if i + 1 < len(t) else ""))
-                for k in range(3, min(len(w) - 1, longest) + 1):
-                    seen[y].setdefault(w[:k], set()).add((w, near))
-                seen[y].setdefault(w + "$", set()).add((w, near))
+            raw[y].update(b for w in t if w not in ".!?;\n\r" for b in beginnings(w))
         gain = math.log(sum(mass) / mass[1])  # what one context is worth
+        # Contexts are kept only for what is common enough, and not mostly clean, by plain counts.
+        maybe = {b for b, n in raw[1].items() if n * gain >= proof and raw[0][b] < 20 * n}
+        del raw
+        seen: list[dict[str, set]] = [{}, {}]
+        for t, y in zip(toks, labels):
+            for i, w in enumerate(t):
+                own = maybe.intersection(beginnings(w))
+                if own:
+                    context = (w, t[i - 1] if i else "", t[i + 1] if i + 1 < len(t) else "")
+                    for b in own:
+                        seen[y].setdefault(b, set()).add(context)
         done: set[str] = set()  # beginnings that are in the trie
         sure: set[str] = set()  # of those, the insults
         for b in sorted(seen[1], key=lambda x: (len(x) - x.endswith("$"), x)):
@@ -205,7 +215,7 @@ class ToxicModel:
             bad, good = len(seen[1][b]), len(seen[0].get(b, ()))
             if bad * gain < proof or good * (25 if whole else 8) > bad:
                 continue
-            if not whole and len({w for w, _ in seen[1][b]}) < 3:
+            if not whole and len({w for w, *_ in seen[1][b]}) < 3:
                 continue  # a beginning must carry several words
             if not whole and good * 100 > bad:
                 self.lexicon.add(text, HINT, 1.0, whole)
