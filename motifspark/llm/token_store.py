@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -30,8 +31,12 @@ from pyspark.sql import functions as F
 
 from .common import new_path, parts, small_batches, written
 
-#: Runs of blanks, other white space beside blanks, or a leading blank pair.
-ODD = re.compile(r"\s\s|[^\S \n]|\n | \n|<\|")
+#: What keeps a text from being cut at its spaces: runs of white space, white space other than a
+#: blank or a line end, and what may begin a special token.
+ODD = ("  ", " \n", "\n ", "\n\n", "<|", *"\t\r\f\v\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
+#: A piece that is one word and the marks after it: the tokenizer cuts it between the two. Latin letters only,
+#: as the classes of others differ between libraries.
+SIMPLE = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?#$%&*|()-]*)")
 _kept: dict[str, "PieceStore"] = {}
 
 
@@ -41,18 +46,57 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class PieceStore:
     """The ids of pieces, as little-endian 32-bit bytes; emptied when it holds ``most``."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 1_300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok, self.most = Tokenizer.from_file(path), most
         self.ids: dict[str, bytes] = {}
+        # Byte-level vocabularies write each byte as a printable character: bytes that are
+        # printable as themselves, the others as characters from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = [b for b in range(256) if b not in plain]
+        self.shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+        self.marks: dict[str, bytes] = {}
+
+    def word(self, text: str) -> bytes:
+        """The ids of one pre-token, straight from the model."""
+        if text.isascii():
+            shown = text.replace(" ", self.shown[32])
+        else:
+            shown = "".join(map(self.shown.__getitem__, text.encode()))
+        return pack([t.id for t in self.tok.model.tokenize(shown)])
+
+    def pieces(self, texts: list[str]) -> list[bytes]:
+        """The ids of pieces: words through the model, all else through the tokenizer."""
+        out, rest = [b""] * len(texts), []
+        match, marks = SIMPLE.fullmatch, self.marks
+        for i, t in enumerate(texts):
+            m = match(t)
+            if m is None:
+                rest.append(i)
+                continue
+            word, tail = m.groups()
+            if not tail:
+                out[i] = self.word(word)
+                continue
+            if tail not in marks:
+                marks[tail] = self.word(tail)
+            # The word alone is mostly known: texts hold it without marks too.
+            out[i] = (self.ids.get(word) or self.word(word)) + marks[tail]
+        for i, b in zip(rest, self.whole([texts[i] for i in rest]) if rest else ()):
+            out[i] = b
+        return out
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [pack(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
@@ -63,19 +107,18 @@ class PieceStore:
         if len(ids) > self.most:
             ids.clear()
         for i, t in enumerate(texts):
-            if ODD.search(t) or t.endswith(" "):
+            if any(map(t.__contains__, ODD)) or t.endswith(" "):
                 odd.append(i)
             elif t:
                 first, *rest = t.split(" ")
                 own = [first, *map(" ".__add__, rest)] if first else [*map(" ".__add__, rest)]
                 cut.append((i, own))
                 new.update(own)
-        new.difference_update(ids)
-        if new:
-            fresh = list(new)
+        fresh = [w for w in new if w not in ids]
+        if fresh:
             for k in range(0, len(fresh), 20_000):
                 part = fresh[k : k + 20_000]
-                ids.update(zip(part, self.whole(part)))
+                ids.update(zip(part, self.pieces(part)))
         get = ids.__getitem__
         for i, own in cut:
             out[i] = b"".join(map(get, own))
