@@ -167,5 +167,6 @@ def mixed(docs: DataFrame, seed: int = 0, **kw) -> DataFrame:
     words = F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))
     some = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(words, (r["first"] + 1).cast("int"), r["n"].cast("int")))), " ")
     text = F.when(F.col("whole"), F.col("text")).otherwise(some)
-    out = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    both = both.withColumn("_text", text)
+    out = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return both.select(*(out[c].alias(c) if c in out else F.col(c) for c in docs.columns))
