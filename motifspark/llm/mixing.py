@@ -165,7 +165,8 @@ def mixed(docs: DataFrame, seed: int = 0, **kw) -> DataFrame:
     full = docs.withColumn("_key", F.xxhash64("text", "source"))
     both = full.join(got, full["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")))
     words = F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))
-    some = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(words, (r["first"] + 1).cast("int"), r["n"].cast("int")))), " ")
+    # The words are bound once a row: named inside the inner lambda they would be cut out anew for every run.
+    some = F.transform(F.array(words), lambda ws: F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(ws, (r["first"] + 1).cast("int"), r["n"].cast("int")))), " "))[0]
     text = F.when(F.col("whole"), F.col("text")).otherwise(some)
     both = both.withColumn("_text", text)
     out = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
