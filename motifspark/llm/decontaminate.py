@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M2, mix, small_batches, text_chunks
+from .common import M2, fresh, mix, small_batches, text_chunks
 
 WORD = re.compile(r"[^\W_]+")
 SPAN, SHORT, LEAST, SHARE = 12, 5, 13, 0.8
@@ -170,6 +170,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *keep: str, words_each: int
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a verified overlap, in all their columns."""
-    key = F.xxhash64(F.col("doc_id"), F.col("text"))
-    bad = overlaps(docs.withColumn("_key", key), benchmark, "_key").select("_key").distinct()
-    return docs.withColumn("_key", key).join(bad, "_key", "left_anti").select(*docs.columns)
+    (key,) = fresh(docs, "_key")
+    own = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    bad = overlaps(own, benchmark, key).select(key).distinct()
+    return own.join(bad, key, "left_anti").select(*docs.columns)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
 DIMS, BITS, SUB = 4, 4, 256
 
@@ -126,8 +126,13 @@ def sharded(docs: DataFrame, shards: int = 24) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24) -> None:
-    """The documents themselves, a folder for each shard, sorted along the curve within it."""
-    keys = sharded(docs, shards).select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), "shard", "slot").dropDuplicates(["_id", "_crc"])
-    own = docs.withColumn("_k", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    both = own.join(keys, own["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_crc")))
-    both.repartition(shards, "shard").sortWithinPartitions("shard", "slot").drop("_id", "_crc", "_k", "slot").write.partitionBy("shard").parquet(path)
+    """The documents themselves, a folder for each shard, sorted along the curve within it.
+
+    Rows that repeat a doc_id and text share a shard. Where the documents have a column
+    ``shard`` of their own, the folders' column is named ``shard_``.
+    """
+    doc, crc, mine, shard, slot = fresh(docs, "_id", "_crc", "_k", "shard", "slot")
+    keys = sharded(docs, shards).select(F.col("doc_id").alias(doc), F.col("text_crc32").alias(crc), F.col("shard").alias(shard), F.col("slot").alias(slot)).dropDuplicates([doc, crc])
+    own = docs.withColumn(mine, F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    both = own.join(keys, own["doc_id"].eqNullSafe(F.col(doc)) & (F.col(mine) == F.col(crc)))
+    both.repartition(shards, shard).sortWithinPartitions(shard, slot).drop(doc, crc, mine, slot).write.partitionBy(shard).parquet(path)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts, written
+from .common import fresh, parts, written
 
 #: Spaces as the contracts count them.
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -161,13 +161,14 @@ def mixed(docs: DataFrame, seed: int = 0, **kw) -> DataFrame:
     key = ["row", "doc_id", "source", "size"]
     got = own.join(draws.hint("merge"), own["source"].eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
     got = got.groupBy(*key, "epoch").agg(F.array_sort(F.collect_set(F.struct("first", "n"))).alias("runs"), F.least(F.sum("n"), F.col("size")).alias("taken"))
-    got = got.select(F.col("row").alias("_row"), F.col("doc_id").alias("_id"), "epoch", "runs", (F.col("taken") == F.col("size")).alias("whole"))
-    full = docs.withColumn("_key", F.xxhash64("text", "source"))
-    both = full.join(got, full["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")))
+    mine, row, doc, epoch, runs, whole, new = fresh(docs, "_key", "_row", "_id", "epoch", "runs", "whole", "_text")
+    got = got.select(F.col("row").alias(row), F.col("doc_id").alias(doc), F.col("epoch").alias(epoch), F.col("runs").alias(runs), (F.col("taken") == F.col("size")).alias(whole))
+    full = docs.withColumn(mine, F.xxhash64("text", "source"))
+    both = full.join(got, full["doc_id"].cast("long").eqNullSafe(F.col(doc)) & (F.col(mine) == F.col(row)))
     words = F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))
     # The words are bound once a row: named inside the inner lambda they would be cut out anew for every run.
-    some = F.transform(F.array(words), lambda ws: F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(ws, (r["first"] + 1).cast("int"), r["n"].cast("int")))), " "))[0]
-    text = F.when(F.col("whole"), F.col("text")).otherwise(some)
-    both = both.withColumn("_text", text)
-    out = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    some = F.transform(F.array(words), lambda ws: F.array_join(F.flatten(F.transform(runs, lambda r: F.slice(ws, (r["first"] + 1).cast("int"), r["n"].cast("int")))), " "))[0]
+    text = F.when(F.col(whole), F.col("text")).otherwise(some)
+    both = both.withColumn(new, text)
+    out = {"text": F.col(new)} | ({"n_chars": F.length(new).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return both.select(*(out[c].alias(c) if c in out else F.col(c) for c in docs.columns))

@@ -236,6 +236,6 @@ def deduplicated(docs: DataFrame, distance: int = 3) -> DataFrame:
     doc_id stay, as nothing tells them apart.
     """
     ids = near_duplicates(docs, distance).filter("doc_id = component_id").select("doc_id").distinct()
-    own = F.struct(F.xxhash64(*docs.columns).alias("_h"), *docs.columns)
-    kept = docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), own["_h"]).alias("r"))
+    hashed = [f.name for f in docs.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]  # those have no hash
+    kept = docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*hashed)).alias("r"))
     return kept.select("r.*").unionByName(docs.filter("doc_id is null"))

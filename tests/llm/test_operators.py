@@ -298,3 +298,23 @@ def test_labeller_on_unseen_pages():
     got = html_extract.trained().label(pages)
     want = [np.array([x.role == "\2" for x in b]) for b in pages]
     assert np.mean(np.concatenate(got) == np.concatenate(want)) >= 0.97
+
+
+def test_columns_with_clashing_names(spark, docs, tmp_path):
+    names = ["_key", "_row", "_id", "epoch", "runs", "whole", "_text", "_h", "_doc", "_k", "_crc", "shard", "slot", "size", "row", "fp", "item_id", "component_id", "target"]
+    more = docs.dropDuplicates(["doc_id"]).select("*", *(F.lit(f"own {n}").alias(n) for n in names), F.create_map(F.lit("a"), F.lit(1)).alias("m"))
+    bench = spark.createDataFrame([(1, "nothing that any of these documents would say to anyone at all in all its words")], "item_id long, text string")
+
+    def own(df):
+        assert set(more.columns) <= set(df.columns)
+        assert df.filter(" OR ".join(f"{n} IS NULL OR {n} <> 'own {n}'" for n in names)).count() == 0
+        return df.count()
+
+    n = more.count()
+    assert own(mixing.mixed(more)) > 0 and own(simhash_dedup.deduplicated(more)) > 0
+    assert own(decontaminate.clean(more, bench)) == n == own(toxicity.filtered(more, toxicity.ToxicModel()))
+    hilbert_shards.write_shards(more, f"{tmp_path}/shards")
+    got = spark.read.parquet(f"{tmp_path}/shards")
+    assert own(got) == n and got.select("shard_").distinct().count() == 24
+    for q in (simhash_dedup.near_duplicates, mixing.drawn_words, hilbert_shards.sharded, token_store.tokenised):
+        assert q(more).count() == n
