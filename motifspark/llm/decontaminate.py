@@ -1,25 +1,33 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Three fixed masks over windows of 12 words each ignore four positions, those of one residue
-modulo 3; so a window with one substitution agrees with its original under one mask at
-least. The hashes of all windows of the benchmark are joined with those of the documents,
-and around each hit the two texts are compared word by word along the hit's diagonal: the
-best segment (1 for an equal word, -4 for another, so at least 80 % of its words are equal)
-counts as an overlap if it holds ``LEAST`` equal words, or 80 % of an item that is shorter.
+The words of documents and benchmark are compared along diagonals that seeds find. In an item
+of over ``WHOLE`` words the best segment of a diagonal (1 for an equal word, -4 for another, so
+at least 80 % of its words are equal) counts as an overlap if it holds ``LEAST`` equal words. A
+shorter item counts if 80 % of its words are equal on one diagonal, wherever the others lie; the
+overlap is the best segment if that holds as many, else the words from the first equal one to
+the last.
+
+The seeds miss nothing that counts. A best segment starts with five equal words at least, and
+with nine in its first ten at least, the tenth being any of the last five; so five masks over
+windows of 10 words, each ignoring one of the last five, find it. A short item has masks over
+its whole length: its positions fall into residue classes, one for each word that may differ and
+two more, and a mask keeps two of the classes. ``GAP`` empty words around each document let an
+item run over its edge.
 
 The benchmark is sent to the tasks in slices of at most ``SLICE`` words, each checked before
 it is sent; a larger benchmark is more slices and as many passes, never a larger broadcast.
 
 Defined cases: words are runs of letters and digits, lower-cased. Items of fewer than
-``SHORT`` words take no part; items of fewer than 12 are matched whole. Null or empty texts
-match nothing; empty tables give no rows. Items that repeat are found each. Rows repeating a
-doc_id are answered each; a null doc_id is carried along.
+``SHORT`` words match documents of the same words and no others; items without words match
+nothing. Null or empty texts match nothing; empty tables give no rows. Items that repeat are
+found each. Rows repeating a doc_id are answered each; a null doc_id is carried along.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -27,12 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M2, fresh, mix, small_batches, text_chunks
+from .common import M, fresh, mix, small_batches, text_chunks
 
 WORD = re.compile(r"[^\W_]+")
-SPAN, SHORT, LEAST, SHARE = 12, 5, 13, 0.8
-MASKS = tuple(tuple(i for i in range(SPAN) if i % 3 != r) for r in range(3))
-SLICE = 1_000_000
+SPAN, SHORT, LEAST, SHARE = 10, 5, 13, 0.8
+WHOLE, GAP = 16, 3  # 80 % of WHOLE words are LEAST at most; GAP of them may differ
+SLICE, HITS = 1_000_000, 200_000
+FACTORS = mix(np.arange(1, WHOLE + 1, dtype=np.uint64) * M) | np.uint64(1)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -43,64 +52,91 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def window_hashes(h: np.ndarray, offsets: tuple[int, ...], span: int) -> np.ndarray:
-    """The hash of each window's words at ``offsets``, by the window's start."""
+def least_equal(n: int) -> int:
+    """The equal words that an overlap with an item of n words holds."""
+    return min(LEAST, int(-(-n * SHARE // 1)))
+
+
+def seed_hashes(h: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each mask's number and its windows' hashes, by the window's start.
+
+    ``length`` is that of a short item, or 0 for the masks of the long ones.
+    """
+    span = length or SPAN
     n = len(h) - span + 1
     if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.full(n, np.uint64(span * 131 + offsets[0]))
+        return
     with np.errstate(over="ignore"):
-        for o in offsets:
-            out *= M2
-            out += h[o : o + n]
-    return mix(out)
+        if not length:
+            total = np.full(n, np.uint64(0))
+            for o in range(SPAN):
+                total += FACTORS[o] * h[o : o + n]
+            for o in range(SPAN // 2, SPAN):
+                yield o, mix(total - FACTORS[o] * h[o : o + n] + FACTORS[o])
+            return
+        kinds = length - least_equal(length) + 2
+        sums = np.zeros((kinds, n), np.uint64)
+        for o in range(length):
+            sums[o % kinds] += FACTORS[o] * h[o : o + n]
+        for k, (a, b) in enumerate(combinations(range(kinds), 2)):
+            yield k, mix(sums[a] + sums[b] + np.uint64(1000 * length + k))
 
 
 class SeedIndex:
-    """The windows of a slice of the benchmark: sorted hashes, a bit table to pass by most of them, and the items' words."""
+    """A slice of the benchmark: for each length of short items, and 0 for the long ones, sorted window hashes, and the items' words."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids, self.words = [], []
-        keys, where, at = [], [], []
-        self.short: set[int] = set()
+        self.exact: dict[bytes, list[int]] = {}
+        by: dict[int, list[tuple[np.ndarray, int]]] = {}
         for item, text in items:
             h = word_hashes(words_of(text))
-            if len(h) < SHORT:
+            if not len(h):
                 continue
             me = len(self.ids)
             self.ids.append(item)
             self.words.append(h)
-            if len(h) < SPAN:
-                self.short.add(len(h))
-            for offsets, span in self.seeds(len(h)):
-                k = window_hashes(h, offsets, span)
-                keys.append(k)
-                where.append(np.full(len(k), me))
-                at.append(np.arange(len(k)))
-        none = np.zeros(0, np.int64)
-        keys, where, at = np.concatenate([none.astype(np.uint64), *keys]), np.concatenate([none, *where]), np.concatenate([none, *at])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.where, self.at = keys[order], where[order], at[order]
-        self.bits = np.zeros(1 << max(16, (16 * len(keys)).bit_length()), bool)
-        self.shift = np.uint64(64 - (len(self.bits).bit_length() - 1))
-        self.bits[keys >> self.shift] = True
-
-    @staticmethod
-    def seeds(n: int) -> list[tuple[tuple[int, ...], int]]:
-        return [(m, SPAN) for m in MASKS] if n >= SPAN else [(tuple(range(n)), n)]
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start in h, row of the index) of every hit of the concatenated words h."""
-        starts, rows = [], []
-        for offsets, span in [*self.seeds(SPAN), *((tuple(range(n)), n) for n in sorted(self.short))]:
-            k = window_hashes(h, offsets, span)
-            maybe = np.flatnonzero(self.bits[(k >> self.shift).astype(np.int64)])
-            a = np.searchsorted(self.keys, k[maybe], "left")
-            b = np.searchsorted(self.keys, k[maybe], "right")
-            n = b - a
-            starts.append(np.repeat(maybe, n))
-            rows.append(np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        return np.concatenate(starts), np.concatenate(rows)
+            if len(h) < SHORT:
+                self.exact.setdefault(h.tobytes(), []).append(me)
+            else:
+                by.setdefault(len(h) if len(h) <= WHOLE else 0, []).append((h, me))
+        self.groups = {}
+        for length, own in sorted(by.items()):
+            keys, where, at = [], [], []
+            for h, me in own:
+                for _, k in seed_hashes(h, length):
+                    keys.append(k)
+                    where.append(np.full(len(k), me))
+                    at.append(np.arange(len(k)))
+            keys, where, at = np.concatenate(keys), np.concatenate(where), np.concatenate(at)
+            order = np.argsort(keys, kind="stable")
+            bits = np.zeros(1 << max(16, (16 * len(keys)).bit_length()), bool)
+            shift = np.uint64(64 - (len(bits).bit_length() - 1))
+            bits[keys >> shift] = True
+            self.groups[length] = keys[order], where[order], at[order], bits, shift
+
+    def find(self, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(start of the window in h, start of the item, item) of the hits of the concatenated words h, some at a time."""
+        for length, (keys, where, at, bits, shift) in self.groups.items():
+            for _, k in seed_hashes(h, length):
+                maybe = np.flatnonzero(bits[k >> shift])
+                a = np.searchsorted(keys, k[maybe], "left")
+                n = np.searchsorted(keys, k[maybe], "right") - a
+                maybe, a, n = maybe[n > 0], a[n > 0], n[n > 0]
+                part = (np.cumsum(n) - n) // HITS
+                for cut in np.split(np.arange(len(n)), np.flatnonzero(np.diff(part)) + 1):
+                    m = n[cut]
+                    starts = np.repeat(maybe[cut], m)
+                    rows = np.repeat(a[cut] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                    items = where[rows]
+                    if length and len(items):
+                        known, own = np.unique(items, return_inverse=True)
+                        ref = np.stack([self.words[i] for i in known])
+                        equal = sum((h[starts + o] == ref[own, o]).astype(np.int64) for o in range(length))
+                        good = equal >= least_equal(length)
+                        starts, rows, items = starts[good], rows[good], items[good]
+                    if len(items):
+                        yield starts, starts - at[rows], items
 
 
 def best_segment(equal: np.ndarray) -> tuple[int, int, int]:
@@ -115,23 +151,32 @@ def best_segment(equal: np.ndarray) -> tuple[int, int, int]:
 def overlaps_of(index: SeedIndex, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
     """(text, item, start word, words, equal words): the best verified overlap of each text and item."""
     words = [word_hashes(words_of(t)) for t in texts]
-    ends = np.cumsum([len(w) for w in words])
-    flat = np.concatenate([np.zeros(0, np.uint64), *words])
-    starts, rows = index.find(flat)
-    if not len(starts):
-        return []
-    doc = np.searchsorted(ends, starts, "right")
-    first = ends[doc] - np.array([len(w) for w in words])[doc]
-    item = index.where[rows]
-    diagonal = starts - first - index.at[rows]
+    lens = np.array([len(w) for w in words], np.int64)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for d, i, o in np.unique(np.stack([doc, item, diagonal], axis=1), axis=0).tolist():
+    for d, w in enumerate(words):
+        if 0 < len(w) < SHORT:
+            best |= {(d, i): (0, len(w), len(w)) for i in index.exact.get(w.tobytes(), ())}
+    gap = np.zeros(GAP, np.uint64)
+    flat = np.concatenate([*(x for w in words for x in (gap, w)), gap, np.zeros(WHOLE, np.uint64)])
+    ends = np.cumsum(lens + GAP)
+    found = [np.zeros((0, 3), np.int64)]
+    for starts, begins, items in index.find(flat):
+        doc = np.searchsorted(ends, starts, "right")  # the gap before a document is its own
+        own = doc < len(words)
+        doc = doc[own]
+        found.append(np.unique(np.stack([doc, items[own], begins[own] - ends[doc] + lens[doc]], axis=1), axis=0))
+    for d, i, o in np.unique(np.concatenate(found), axis=0).tolist():
         own, ref = words[d], index.words[i]
         a, b = max(0, o), min(len(own), o + len(ref))
         if b <= a:
             continue
-        s, e, n = best_segment(own[a:b] == ref[a - o : b - o])
-        if n >= min(LEAST, -(-len(ref) * SHARE // 1)) and n > best.get((d, i), (0, 0, 0))[2]:
+        equal = own[a:b] == ref[a - o : b - o]
+        s, e, n = best_segment(equal)
+        least = least_equal(len(ref))
+        if n < least and len(ref) <= WHOLE and equal.sum() >= least:
+            at = np.flatnonzero(equal)
+            s, e, n = int(at[0]), int(at[-1]) + 1, len(at)
+        if n >= least and n > best.get((d, i), (0, 0, 0))[2]:
             best[d, i] = (a + s, e - s, n)
     return [(d, index.ids[i], *v) for (d, i), v in best.items()]
 

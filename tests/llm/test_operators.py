@@ -206,6 +206,44 @@ def test_overlaps_tolerate_substitutions(spark):
     assert sorted(r["doc_id"] for r in decontaminate.clean(df, bench).collect()) == [3, 4, 5, 6, 7]
 
 
+def brute_overlaps(items, texts):
+    """The items that each text overlaps, by every diagonal."""
+    out = set()
+    for i, ref in enumerate(items):
+        for d, own in enumerate(texts):
+            if len(ref) < decontaminate.SHORT:
+                if own == ref:
+                    out.add((d, i))
+                continue
+            for o in range(1 - len(ref), len(own)):
+                same = np.array([0 <= o + k < len(own) and own[o + k] == w for k, w in enumerate(ref)])
+                n = same.sum() if len(ref) <= 16 else decontaminate.best_segment(same)[2]
+                if n >= min(13, -(-len(ref) * 4 // 5)):
+                    out.add((d, i))
+    return out
+
+
+def test_changed_words_are_found_at_any_place():
+    rng = random.Random(6)
+    items = [[f"i{n}w{k}" for k in range(n)] for n in (2, 4, *range(5, 22))]
+    texts = []
+    for ref in items:
+        for changes in range(4):
+            for _ in range(12):
+                own = list(ref)
+                for k in rng.sample(range(len(own)), min(changes, len(own))):
+                    own[k] = "zz"
+                texts.append(prose(rng, rng.choice([0, 4])).split() + own + prose(rng, rng.choice([0, 4])).split())
+        texts += [ref[k:] for k in range(1, 4)] + [ref[:-k] for k in range(1, 4)]
+        texts.append([w if k not in (5, 10) else "zz" for k, w in enumerate(ref)])
+    index = decontaminate.SeedIndex([(i, " ".join(w)) for i, w in enumerate(items)])
+    got = decontaminate.overlaps_of(index, [" ".join(t) for t in texts])
+    assert {x[:2] for x in got} == brute_overlaps(items, texts) and len({x[:2] for x in got}) == len(got)
+    assert all(0 <= s and s + n <= len(texts[d]) and (e >= 0.8 * n) for d, _, s, n, e in got)
+    eight = [" ".join(items[5][:k] + ["zz"] + items[5][k + 1 :]) for k in range(8)]
+    assert len(items[5]) == 8 and {x[:2] for x in decontaminate.overlaps_of(index, eight)} == {(k, 5) for k in range(8)}
+
+
 def test_forward_sums_all_segmentations():
     pieces = ["▁a", "▁", "a", "b", "ab", "ba"]
     model = language_id.LanguageModel(["x"], pieces, np.array([[0.3], [0.1], [0.2], [0.1], [0.2], [0.1], [0]]))
