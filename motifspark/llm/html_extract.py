@@ -12,7 +12,9 @@ article are joined in page order by one space.
 
 Defined cases: a null or empty html gives the empty text, as does a page without an article
 block. Broken markup is read as far as it goes: an unclosed tag lasts until its parent ends,
-a cut-off tag is dropped. Pages of any length are read whole; a page of over ``RUN`` blocks is
+a cut-off tag is dropped. Only scripts, styles, text areas and comments run to the end of the
+page; an unclosed head ends at the first text or tag of a body, an unclosed option, select,
+button, title, iframe, svg or math at the next block-level tag too. Pages of any length are read whole; a page of over ``RUN`` blocks is
 labelled in runs of that many. Rows repeating a page_id are answered each. Columns other than
 page_id, url and html are ignored.
 """
@@ -24,6 +26,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import takewhile
 
 import numpy as np
 import pandas as pd
@@ -37,12 +40,21 @@ PATHS, WORDS, PDIM, WDIM, MEASURES, HIDDEN, RUN = 1024, 512, 16, 6, 6, 20, 2000
 #: HTML's elements by what they do to text.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = "script|style|noscript|template|textarea|select|svg|math|iframe|object|canvas|head|button|title|option"
+RAW = "script|style|textarea"
+DROPPED = "noscript|template|select|svg|math|iframe|object|canvas|head|button|title|option"
+UNSHOWN = set(DROPPED.split("|"))
+UNBROKEN = {"svg", "math", "canvas"}  # text goes on around them
+SHORT_LIVED = {"option", "select", "button", "title", "iframe", "svg", "math"}
+OF_HEAD = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
 CLOSES_P = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-STOPS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
-
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + DROPPED + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S | re.I)
+BLOCKS = CLOSES_P | set("body caption center dd details dt figcaption figure li summary tbody td tfoot th thead tr".split())
+CLOSED_BY = {"option": {"option"}, "optgroup": {"option", "optgroup"}, "button": {"button"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+STOPS = {"option": {"select", "datalist", "optgroup"}, "optgroup": {"select", "datalist"}, "button": {"table", "td", "th"}, "li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
+
+_RAW = r"<!--.*?(?:-->|\Z)|<(" + RAW + r")(?![\w:-])[^>]*>.*?(?:</\1\s*>|\Z)|"
+_DROPPED = r"<(/?)(" + DROPPED + r")(?![\w:-])((?:[^<>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>"
+TOKEN = re.compile(_RAW + _DROPPED + r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S | re.I)
+PAIRED = re.compile(_RAW + _DROPPED, re.S | re.I)
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PART = re.compile(r"[a-z]+")
 
@@ -69,12 +81,28 @@ def _part(tag: str, attributes: str) -> tuple[int, ...]:
     return tuple(out)
 
 
+def closed(page: str) -> dict[int, int]:
+    """Where each dropped element that has an end tag starts and ends."""
+    out: dict[int, int] = {}
+    open_: dict[str, list[int]] = {}
+    for m in PAIRED.finditer(page):
+        if m[3] is None:
+            continue
+        own = open_.setdefault(tag := m[3].lower(), [])
+        if not m[2]:
+            if not (tag in ("svg", "math") and m[4].endswith("/")):
+                own.append(m.start())
+        elif own:
+            out[own.pop()] = m.end()
+    return out
+
+
 def blocks_of(page: str | None, marks: bool = False) -> list[Block]:
     """The blocks of a page in order. ``marks``: control characters name the parts' roles (training)."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[int, ...]]] = []
     buffer: list[str] = []
-    linked, in_link, role = 0, 0, ""
+    linked, in_link, hidden, role = 0, 0, 0, ""
 
     def flush() -> None:
         nonlocal linked
@@ -82,7 +110,8 @@ def blocks_of(page: str | None, marks: bool = False) -> list[Block]:
             raw = "".join(buffer)
             text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
             if text:
-                path = tuple(p for tag, own in stack if tag not in INLINE for p in own)
+                seen = takewhile(lambda x: x[0] not in UNSHOWN, stack)
+                path = tuple(p for tag, own in seen if tag not in INLINE for p in own)
                 out.append(Block(path, text, linked, role))
             buffer.clear()
         linked = 0
@@ -100,54 +129,73 @@ def blocks_of(page: str | None, marks: bool = False) -> list[Block]:
         buffer.append(raw)
         linked += len(raw) * (in_link > 0)
 
+    def cut(a: int, b: int | None = None) -> None:
+        """Ends the open elements a to b."""
+        nonlocal in_link, hidden
+        for t, _ in stack[a:b]:
+            in_link -= t == "a"
+            hidden -= t in UNSHOWN
+        del stack[a:b]
+
     page = page or ""
+    ends = closed(page)
     at = 0
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, at):
         if m.start() > at:
-            text_in(page[at : m.start()])
+            raw = page[at : m.start()]
+            if hidden and stack[-1][0] == "head" and not raw.isspace():
+                cut(len(stack) - 1)
+            if not hidden:
+                text_in(raw)
         at = m.end()
-        tag = m[3]
+        tag = m[3] or m[6]
         if tag is None:
-            if m[1] and m[1].lower() not in ("svg", "math", "canvas"):
+            if m[1] and not hidden:
                 flush()
             continue
-        tag = tag.lower()
-        if m[2]:
-            if any(t == tag for t, _ in stack):
-                if tag not in INLINE:
+        tag, attributes = tag.lower(), m[4] if m[3] else m[7]
+        if m[2] or m[5]:
+            k = _last(stack, {tag}, set())
+            if k is not None:
+                shown = hidden == 0 or any(t in UNSHOWN for t, _ in stack[k:])
+                if shown and tag not in INLINE and tag not in UNBROKEN:
                     flush()
-                while stack and (top := stack.pop()[0]) != tag:
-                    in_link -= top == "a"
-                in_link -= tag == "a"
-            elif tag not in INLINE:
+                cut(k)
+            elif not hidden and tag not in INLINE:
                 flush()
             continue
-        if tag not in INLINE:
+        if hidden:
+            if tag not in OF_HEAD and (k := _last(stack, {"head"}, set())) is not None:
+                cut(k)
+            if tag in BLOCKS:
+                while hidden and (k := _last(stack, UNSHOWN, set())) is not None and stack[k][0] in SHORT_LIVED:
+                    cut(k)
+        if not hidden and tag not in INLINE and tag not in UNBROKEN:
             flush()
         if tag in VOID:
             continue
         if tag in CLOSES_P and (k := _last(stack, {"p"}, {"table", "td", "th", "button"})) is not None:
-            in_link -= _links(stack, k)
-            del stack[k:]
+            cut(k)
         if tag in CLOSED_BY and (k := _last(stack, CLOSED_BY[tag], STOPS[tag])) is not None:
-            in_link -= _links(stack, k)
-            del stack[k:]
-        if not m[4].endswith("/"):
-            stack.append((tag, _part(tag, m[4])))
+            cut(k)
+        if tag in UNSHOWN and m.start() in ends:
+            at = ends[m.start()]
+        elif not attributes.endswith("/"):
+            stack.append((tag, _part(tag, attributes)))
             in_link += tag == "a"
+            hidden += tag in UNSHOWN
         if len(stack) > 512:  # markup that never closes: the outermost tags go
-            in_link -= _links(stack[:256], 0)
-            del stack[:256]
+            cut(0, 256)
     if at < len(page):
-        text_in(page[at:])
+        raw = page[at:]
+        if hidden and stack[-1][0] == "head" and not raw.isspace():
+            cut(len(stack) - 1)
+        if not hidden:
+            text_in(raw)
     flush()
     return out
 
 
-def _links(stack: list, k: int) -> int:
-    return sum(t == "a" for t, _ in stack[k:])
-
-
 def _last(stack: list, tags: set[str], stops: set[str]) -> int | None:
     """Where the innermost of ``tags`` is open, not looking past ``stops``."""
     for k in range(len(stack) - 1, -1, -1):

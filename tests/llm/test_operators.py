@@ -330,6 +330,30 @@ def test_html_extraction(spark):
     assert got[4]["text"].endswith("cut off here <b and") and all(r["n_chars"] == len(r["text"]) for r in got.values())
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<html><head><title>t</title><meta x><body><p>One.</p><p>Two.</p>", ["One.", "Two."]),
+    ("<html><head><title>t</title><p>One.<p>Two.", ["One.", "Two."]),
+    ("<head><title>t</title>One <b>two</b><p>Three", ["One two", "Three"]),
+    ("<head><title>t<body><p>One", ["One"]),
+    ("<head><noscript><img src=x></noscript><title>t</title></head><p>One", ["One"]),
+    ("<p>One</p><datalist id=d><option value=a>A<option value=b>B</datalist><p>Two</p>", ["One", "Two"]),
+    ("<select><option>A<option>B</select><p>One", ["One"]),
+    ("<select><option>A<option>B</option><p>One", ["One"]),
+    ("<p>One <svg viewBox='0 0'/> two</p><p>Three</p>", ["One two", "Three"]),
+    ("<p>One <svg><g><svg></svg><text>x</text></g></svg>two <math/>three</p>", ["One two three"]),
+    ("<p>One <a><svg><path d='m'></a> two</p><p>Three</p>", ["One two", "Three"]),
+    ("<article><p>One</p><button>Share<p>Two</p><p>Three</p></article>", ["One", "Two", "Three"]),
+    ("<article><div>One <button>Share</div><p>Two</p></article><button>x</button>Three", ["One", "Two", "Three"]),
+    ("<div><iframe src=x>no</div><p>One</p><object>no<div>no</div>", ["One"]),
+    ("<div><object>no<p>no</p></div><p>One</p>", ["One"]),
+    ("<p>One</p><script>if (a) { <p>x", ["One"]), ("<p>One</p><textarea>x<p>y", ["One"]), ("<p>One</p><!-- x <p>y", ["One"]),
+    ("<button-group>One</button-group><header>Two</header>", ["One", "Two"]),
+    ("<p>One</p><noscript><p>x</div></noscript><template><b>y</b></template><p>Two", ["One", "Two"]),
+])
+def test_dropped_elements_end_where_html_ends_them(page, want):
+    assert [b.text for b in html_extract.blocks_of(page)] == want
+
+
 def test_labeller_on_unseen_pages():
     grammar = PageGrammar(77)
     pages = [b for b in (html_extract.blocks_of(grammar.page(), marks=True) for _ in range(80)) if b]
