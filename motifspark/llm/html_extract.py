@@ -14,8 +14,9 @@ Defined cases: a null or empty html gives the empty text, as does a page without
 block. Broken markup is read as far as it goes: an unclosed tag lasts until its parent ends,
 a cut-off tag is dropped. Only scripts, styles, text areas and comments run to the end of the
 page; an unclosed head ends at the first text or tag of a body, an unclosed option, select,
-button, title, iframe, svg or math at the next block-level tag too. Pages of any length are read whole; a page of over ``RUN`` blocks is
-labelled in runs of that many. Rows repeating a page_id are answered each. Columns other than
+button, title, iframe, svg or math at the next block-level tag too. Pages of any length are read whole; over a page of more than
+``RUN`` blocks the two LSTMs go in runs of that many, each starting from the state in which the
+run before it ended. Rows repeating a page_id are answered each. Columns other than
 page_id, url and html are ignored.
 """
 
@@ -211,16 +212,17 @@ def _word(word: str) -> int:
     return _hash("w", word.strip(".,;:!?()"), WORDS)
 
 
-def inputs(blocks: list[Block]) -> tuple[list[tuple[int, ...]], list[list[int]], np.ndarray]:
-    """Path parts, hashed words (a block's first and last eight) and measures of each block."""
+def inputs(blocks: list[Block], a: int = 0, b: int | None = None) -> tuple[list[tuple[int, ...]], list[list[int]], np.ndarray]:
+    """Path parts, hashed words (a block's first and last eight) and measures of a page's blocks from a to b."""
     measures, words = [], []
     last = len(blocks) - 1
-    for i, b in enumerate(blocks):
-        own = b.text.split()
-        n = len(b.text)
+    some = blocks[a:b]
+    for i, x in enumerate(some, a):
+        own = x.text.split()
+        n = len(x.text)
         words.append([_word(w.lower()) for w in (own if len(own) <= 16 else own[:8] + own[-8:])])
-        measures.append((min(2.0, len(own) ** 0.5 / 6), min(1.0, b.linked / n), b.text.count(".") / (1 + len(own)), b.text[-1] in ".!?", i == 0, i == last))
-    return [b.path for b in blocks], words, np.array(measures, np.float32)
+        measures.append((min(2.0, len(own) ** 0.5 / 6), min(1.0, x.linked / n), x.text.count(".") / (1 + len(own)), x.text[-1] in ".!?", i == 0, i == last))
+    return [x.path for x in some], words, np.array(measures, np.float32)
 
 
 class Labeller:
@@ -258,9 +260,10 @@ class Labeller:
             took += [(t, j, a, b) for t, (a, b) in enumerate(zip(paths, words))]
         return out, mask, took
 
-    def lstm(self, k: str, x: np.ndarray, mask: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
+    def lstm(self, k: str, x: np.ndarray, mask: np.ndarray, keep: bool, state: tuple | None = None) -> tuple[np.ndarray, list, tuple]:
+        """The states of all steps, what the gradients need, and the last state; ``state`` is the one to start from."""
         steps, n, _ = x.shape
-        h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+        h, c = state or (np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32))
         hs, kept = np.zeros((steps, n, HIDDEN), np.float32), []
         gates = x @ self.p[k + "x"] + self.p[k + "c"]
         for t in range(steps) if k == "f" else range(steps - 1, -1, -1):
@@ -276,12 +279,12 @@ class Labeller:
                 kept.append((t, i, f, o, g, c, tc, h, m))
             h, c = h2, c2
             hs[t] = h
-        return hs, kept
+        return hs, kept, (h, c)
 
     def logits(self, pages: list, keep: bool = False):
         x, mask, took = self.embed(pages)
-        f, kf = self.lstm("f", x, mask, keep)
-        b, kb = self.lstm("b", x, mask, keep)
+        f, kf, _ = self.lstm("f", x, mask, keep)
+        b, kb, _ = self.lstm("b", x, mask, keep)
         h = np.concatenate([f, b], axis=2)
         return h @ self.p["o"] + self.p["ob"][0], (x, mask, took, h, kf, kb)
 
@@ -335,17 +338,32 @@ class Labeller:
                     self.p[name] -= lr * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-8)
         return self
 
+    def long_logits(self, page: list[Block]) -> np.ndarray:
+        """The logits of a page's blocks, run by run: memory holds the block vectors and the states of one run."""
+        runs = []
+        for k in range(0, len(page), RUN):
+            x, mask, _ = self.embed([inputs(page, k, k + RUN)])
+            runs.append((k, x, mask))
+        z = np.full(len(page), self.p["ob"][0])
+        for name, o, order in (("f", self.p["o"][:HIDDEN], runs), ("b", self.p["o"][HIDDEN:], runs[::-1])):
+            state = None
+            for k, x, mask in order:
+                hs, _, state = self.lstm(name, x, mask, False, state)
+                z[k : k + RUN] += hs[:, 0] @ o
+        return z
+
     def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """For each page which of its blocks are article."""
         out = [np.zeros(len(p), bool) for p in pages]
-        runs = [(i, k) for i, p in enumerate(pages) for k in range(0, len(p), RUN)]
-        runs.sort(key=lambda x: min(RUN, len(pages[x[0]]) - x[1]))
-        for a in range(0, len(runs), 128):
-            own = runs[a : a + 128]
-            z, _ = self.logits([inputs(pages[i][k : k + RUN]) for i, k in own])
-            for j, (i, k) in enumerate(own):
-                n = min(RUN, len(pages[i]) - k)
-                out[i][k : k + n] = z[:n, j] > 0
+        short = sorted((i for i, p in enumerate(pages) if 0 < len(p) <= RUN), key=lambda i: len(pages[i]))
+        for a in range(0, len(short), 128):
+            own = short[a : a + 128]
+            z, _ = self.logits([inputs(pages[i]) for i in own])
+            for j, i in enumerate(own):
+                out[i] = z[: len(pages[i]), j] > 0
+        for i, p in enumerate(pages):
+            if len(p) > RUN:
+                out[i] = self.long_logits(p) > 0
         return out
 
 

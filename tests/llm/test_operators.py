@@ -362,6 +362,18 @@ def test_labeller_on_unseen_pages():
     assert np.mean(np.concatenate(got) == np.concatenate(want)) >= 0.97
 
 
+def test_labels_of_long_pages_do_not_depend_on_runs(monkeypatch):
+    grammar, model = PageGrammar(78), html_extract.trained()
+    pages = [html_extract.blocks_of("".join(grammar.page() for _ in range(k))) for k in (1, 3, 8)]
+    whole = model.label(pages)
+    z = [model.logits([html_extract.inputs(p)])[0][:, 0] for p in pages]
+    for run in (7, 50):
+        monkeypatch.setattr(html_extract, "RUN", run)
+        assert all((a == b).all() for a, b in zip(model.label(pages), whole))
+        for p, want in zip(pages, z):
+            assert np.allclose(model.long_logits(p), want, atol=1e-4)
+
+
 def test_columns_with_clashing_names(spark, docs, tmp_path):
     names = ["_key", "_row", "_id", "epoch", "runs", "whole", "_text", "_h", "_doc", "_k", "_crc", "shard", "slot", "size", "row", "fp", "item_id", "component_id", "target"]
     more = docs.dropDuplicates(["doc_id"]).select("*", *(F.lit(f"own {n}").alias(n) for n in names), F.create_map(F.lit("a"), F.lit(1)).alias("m"))
