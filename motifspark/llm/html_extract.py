@@ -213,14 +213,14 @@ def _word(word: str) -> int:
 
 
 def inputs(blocks: list[Block], a: int = 0, b: int | None = None) -> tuple[list[tuple[int, ...]], list[list[int]], np.ndarray]:
-    """Path parts, hashed words (a block's first and last eight) and measures of a page's blocks from a to b."""
+    """Path parts, hashed words (all of a block's) and measures of a page's blocks from a to b."""
     measures, words = [], []
     last = len(blocks) - 1
     some = blocks[a:b]
     for i, x in enumerate(some, a):
         own = x.text.split()
         n = len(x.text)
-        words.append([_word(w.lower()) for w in (own if len(own) <= 16 else own[:8] + own[-8:])])
+        words.append([_word(w.lower()) for w in own])
         measures.append((min(2.0, len(own) ** 0.5 / 6), min(1.0, x.linked / n), x.text.count(".") / (1 + len(own)), x.text[-1] in ".!?", i == 0, i == last))
     return [x.path for x in some], words, np.array(measures, np.float32)
 

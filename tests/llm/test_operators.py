@@ -362,6 +362,12 @@ def test_labeller_on_unseen_pages():
     assert np.mean(np.concatenate(got) == np.concatenate(want)) >= 0.97
 
 
+def test_all_words_of_a_block_count():
+    (block,) = html_extract.blocks_of("<p>" + " ".join(f"w{k}" for k in range(50)))
+    _, words, _ = html_extract.inputs([block])
+    assert words == [[html_extract._word(f"w{k}") for k in range(50)]]
+
+
 def test_labels_of_long_pages_do_not_depend_on_runs(monkeypatch):
     grammar, model = PageGrammar(78), html_extract.trained()
     pages = [html_extract.blocks_of("".join(grammar.page() for _ in range(k))) for k in (1, 3, 8)]
