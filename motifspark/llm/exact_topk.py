@@ -116,11 +116,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
     base = written(base, "topk-vectors")
     n = base.count()
     shards = max(1, -(-n // shard_rows))
-    blocks = max(1, -(-base.filter("q").count() // block))
+    # Copies of a query row go before queries are dealt out: two calls cannot know of each other's.
+    asked = written(base.filter("q").select("vid", "v").dropDuplicates(["vid", "v"]), "topk-queries")
+    blocks = max(1, -(-asked.count() // block))
     deal = F.pmod(F.xxhash64(F.lit(11), "vid"), F.lit(shards)).cast("int")
     points = base.select(deal.alias("shard"), F.lit(0).alias("side"), F.lit(0).alias("qblock"), "vid", "v",
                          F.lit(None).cast("double").alias("floor"))
-    queries = base.filter("q").select(
+    queries = asked.select(
         F.pmod(F.xxhash64(F.lit(13), "vid"), F.lit(blocks)).cast("int").alias("qblock"), "vid", "v")
 
     def run(side: DataFrame) -> DataFrame:
@@ -175,7 +177,6 @@ def _trees(rows: list) -> dict[int, KdTree]:
 
 def _answer(trees: dict[int, KdTree], ask: pd.DataFrame, k: int) -> pd.DataFrame:
     out: list[tuple] = []
-    seen = set()
     for d, own in ask.groupby(ask["v"].map(len)):
         tree = trees.get(d)
         if tree is None:
@@ -187,9 +188,6 @@ def _answer(trees: dict[int, KdTree], ask: pd.DataFrame, k: int) -> pd.DataFrame
         if not exact:  # round-off must not cut a box
             bounds = bounds + np.abs(bounds) * 1e-9 + top * 1e-12
         for j, (vid, v, floor, b) in enumerate(zip(own["vid"], own["v"], own["floor"], own["qblock"])):
-            if (key := (vid, v.tobytes())) in seen:
-                continue
-            seen.add(key)
             low = -np.inf if floor is None or floor != floor else float(floor) - (0 if exact else abs(float(floor)) * 1e-9)
             out += [(vid, v, b, i, int(s)) for s, i in tree.search(qs[j], vid, k, bounds[j], low, exact)]
     return pd.DataFrame(out, columns=["query_id", "qv", "qblock", "vec_id", "score"])

@@ -62,6 +62,17 @@ def test_topk_keeps_large_products_exact(spark):
     assert [r["vec_id"] for r in got] == [2, 1]
 
 
+def test_topk_counts_repeated_queries_once(spark):
+    x = np.random.default_rng(1).normal(size=(40, 4)).round(2)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows + 9 * [rows[0]] + 2 * [rows[5]], "vec_id long, embedding array<double>")
+    v = np.floor(x * 1024).astype(np.int64)
+    want = {(q, r, i, -s) for q in (0, 5) for r, (s, i) in enumerate(sorted((-int(v[q] @ v[i]), i) for i in range(40) if i != q)[:10], 1)}
+    for shard_rows in (8192, 16):
+        got = exact_topk.top_k(df, F.col("vec_id").isin(0, 5), 10, shard_rows=shard_rows, block=2).collect()
+        assert {tuple(r) for r in got} == want and len(got) == 20
+
+
 def brute_fingerprint(text):
     w = (text or "").encode().lower().split()
     s = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
