@@ -30,10 +30,10 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, small_batches, written
+from .common import fresh, parts, small_batches, written
 from .components import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -63,16 +63,17 @@ def _set_bits(values: np.ndarray) -> np.ndarray:
     return ones
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long) of every row."""
+def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, the long columns ``keep``, fp (the 64 bits as a long) of every row."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fps = np.array([fingerprint(t) for t in pdf["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps.view(np.int64)})
+            yield pdf.drop(columns="text").assign(fp=fps.view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
+    schema = ", ".join(["doc_id long", *(f"{c} long" for c in keep), "fp long"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text").mapInPandas(run, schema)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -217,25 +218,34 @@ def links(fps: DataFrame, distance: int = 3, node_rows: int = 20_000) -> DataFra
         level = level.join(split, "node").select("fp", F.xxhash64("node", "k", F.col("fp").bitwiseAND(F.col("part"))).alias("node"))
 
 
+def rooted(base: DataFrame, least: Column, distance: int) -> DataFrame:
+    """fp, least, root: the least of each distinct fingerprint's rows, and its component."""
+    # Copies fold here, before any shuffle of whole groups: one row a fingerprint and task.
+    nodes = written(base.groupBy("fp").agg(least.alias("least")), "gray-distinct")
+    groups = written(components(links(nodes.select("fp"), distance)), "gray-components")
+    return nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the least doc_id of its component)."""
     base = written(fingerprints(docs), "fingerprints")
-    # Copies fold here, before any shuffle of whole groups: one row a fingerprint and task.
-    nodes = written(base.groupBy("fp").agg(F.min("doc_id").alias("least")), "gray-distinct")
-    groups = written(components(links(nodes.select("fp"), distance)), "gray-components")
-    joined = nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    joined = rooted(base, F.min("doc_id"), distance)
     roots = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     of = joined.join(roots, "root").select("fp", "component_id")
     return base.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, distance: int = 3) -> DataFrame:
-    """The documents with one row of each component: that of the least doc_id.
+    """The documents with one row of each component: that of the least doc_id, null last.
 
-    Of rows repeating that doc_id one stays, chosen by a hash of the row. Rows with a null
-    doc_id stay, as nothing tells them apart.
+    Of a component's rows that repeat this doc_id one stays, chosen by hashes of its text and
+    of the row.
     """
-    ids = near_duplicates(docs, distance).filter("doc_id = component_id").select("doc_id").distinct()
+    (key,) = fresh(docs, "_key")
+    own = F.xxhash64(F.col("doc_id").cast("long"), "text")
+    base = written(fingerprints(docs.select("doc_id", "text", own.alias("key")), "key"), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    chosen = rooted(base, first, distance).groupBy("root").agg(F.min("least").alias("r")).select(F.col("r.key").alias(key))
     hashed = [f.name for f in docs.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]  # those have no hash
-    kept = docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*hashed)).alias("r"))
-    return kept.select("r.*").unionByName(docs.filter("doc_id is null"))
+    kept = docs.withColumn(key, own).join(chosen, key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*hashed)).alias("r"))
+    return kept.select("r.*")

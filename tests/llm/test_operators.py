@@ -107,6 +107,15 @@ def test_simhash_equals_brute_force(docs):
     assert sorted(r["doc_id"] for r in simhash_dedup.deduplicated(docs).collect()) == sorted(set(least.values()))
 
 
+def test_one_document_of_each_group_stays(spark):
+    rng = random.Random(12)
+    a, b, c, d = (prose(rng, 40) for _ in range(4))
+    rows = [(1, a), (1, b), (2, a), (3, b), (3, b), (None, c), (None, c), (None, d), (4, d), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, simhash_dedup.deduplicated(docs).collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (None, c), (4, d)], key=str)
+
+
 @pytest.mark.parametrize("node_rows", [60, 100_000])
 def test_gray_index_finds_all_components(spark, node_rows):
     rng = np.random.default_rng(3)
