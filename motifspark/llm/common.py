@@ -6,10 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Rows of one Arrow batch; with whole texts in the rows this bounds a worker's memory.
 BATCH_ROWS = 512
@@ -22,10 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, local mode) a temporary one is made and set.
+    Where the setting is absent a temporary one is made and set, on a local master only:
+    elsewhere the executors could not read it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="motifspark-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -82,23 +89,58 @@ def id_crc(col: str = "doc_id") -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary"))
 
 
-def bounded(df: DataFrame, by: list[str], rows_each: int, key: str = "doc_id", longest: int = 20_000) -> DataFrame:
-    """About ``rows_each`` rows of each value of ``by``, chosen by a hash of ``key``.
+def bounded(df: DataFrame, by: str, rows_each: int, key: str = "doc_id") -> DataFrame:
+    """``rows_each`` rows of each value of ``by`` at most, those of least hash of ``key`` (of a seed and the id).
 
-    The counts come from one partial aggregate; the choice itself needs no shuffle. Used
-    only to fit a classifier; texts of over ``longest`` characters are no part of a sample.
+    Only to fit a classifier. Spark keeps ``rows_each`` rows a value in each task before the
+    shuffle (a window group limit), so a value that most rows have is no large group.
     """
-    if "text" in df.columns:
-        df = df.filter(F.length("text") <= longest)
-    counts = df.groupBy(*by).agg(F.count("*").alias("_n")).limit(1000).collect()
-    keep = F.lit(False)
-    draw = F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(1_000_000))
-    for row in counts:
-        same = F.lit(True)
-        for c in by:
-            same = same & F.col(c).eqNullSafe(F.lit(row[c]))
-        keep = keep | (same & (draw < int(1_000_000 * min(1.0, rows_each / row["_n"]))))
-    return df.filter(keep).limit(2 * rows_each * max(1, len(counts)))
+    rank, draw = fresh(df, "_rank", "_draw")
+    df = df.withColumn(draw, F.xxhash64(F.lit(7), F.col(key)))
+    order = Window.partitionBy(by).orderBy(draw, F.col(key))
+    return df.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= rows_each).drop(rank, draw)
+
+
+def array_of(values, kind: pa.DataType) -> pa.Array:
+    return pa.array(values.tolist() if isinstance(values, np.ndarray) and values.dtype == object else values, kind)
+
+
+def over_texts(docs: DataFrame, run, adds: str, *keep: str, key: str = "doc_id", column: str = "text") -> DataFrame:
+    """``key`` as a long, the columns ``keep``, and the columns ``adds`` (DDL) that ``run`` makes of the texts.
+
+    ``run`` takes a list of texts (null: empty) and returns a dict of columns, one value a
+    text; or a pair (places, dict), where value i belongs to the text at places[i]. Ids and kept columns
+    stay in Arrow and come back as they are, nulls and 64-bit values too.
+    """
+    small_batches(docs.sparkSession)
+    own = docs.select(F.col(key).cast("long").alias(key), *keep, F.col(column).cast("string").alias(fresh(docs, "_text")[0]))
+    added = T.StructType.fromDDL(adds)
+    schema = T.StructType([*own.schema.fields[:-1], *added.fields])
+    kinds = {f.name: to_arrow_type(f.dataType) for f in added.fields}
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = run([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()])
+            rest = batch.columns[:-1]
+            if isinstance(got, tuple):
+                places, got = got
+                rest = [c.take(pa.array(places, pa.int64())) for c in rest]
+            yield pa.RecordBatch.from_arrays([*rest, *(array_of(got[n], k) for n, k in kinds.items())], names=schema.names)
+
+    return own.mapInArrow(each, schema)
+
+
+def kept_texts(docs: DataFrame, good, column: str = "text") -> DataFrame:
+    """The rows, in all their columns, whose texts ``good`` (a list of texts to a list of booleans) accepts."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(column)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = good([t or "" for t in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array(np.asarray(ok, bool)))
+
+    return docs.mapInArrow(each, docs.schema)
 
 
 M = np.uint64(0x9E3779B97F4A7C15)

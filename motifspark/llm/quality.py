@@ -8,22 +8,22 @@ bounded sample of labelled rows. As the output is linear, each distinct token ad
 amount to the class margin, and tokens that come again keep it.
 
 Defined cases: a null or blank text gets the score of the empty text (the output's bias).
-Without labelled rows every score is 0.5. Rows repeating a doc_id are answered each. Tokens
-of over ``LONGEST`` characters are read in segments of that many, each a token. The sample:
-about ``SAMPLE`` labelled rows a class with texts of at most 20,000 characters.
+Without labelled rows every score is 0.5; an empty table gives no rows. Rows repeating a
+doc_id are answered each; a null doc_id is carried along. Tokens of over ``LONGEST``
+characters are read in segments of that many, each a token; texts of any length are read
+whole. Columns other than doc_id and text are carried as they are where asked for, whatever
+their names. The sample: ``SAMPLE`` labelled rows a class at most.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordScores, bounded, by_document, grid, small_batches, spans, text_chunks
+from .common import WordScores, bounded, by_document, grid, id_crc, over_texts, spans, text_chunks
 
 SAMPLE, BITS, DIM, LONGEST, GRAMS = 600, 16, 10, 40, (1, 2, 3, 4)
 REPEAT = (1 << BITS) + 1  # the row of the repetition mark; 1 << BITS is padding
@@ -123,16 +123,14 @@ class QualityModel:
 def train(rows: DataFrame, label: str = "quality", sample: int = SAMPLE) -> QualityModel | None:
     """Fit on a bounded sample of ``rows`` (doc_id, text, label 0 or 1)."""
     own = rows.filter(F.col(label).isin(0, 1) & F.col("text").isNotNull()).select("doc_id", label, "text")
-    pdf = bounded(own, [label], sample).toPandas().sort_values(["doc_id", "text"])
+    pdf = bounded(own, label, sample).toPandas().sort_values(["doc_id", "text"])
     return QualityModel().fit(list(pdf["text"]), pdf[label].to_numpy(np.int64)) if len(pdf) else None
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: int, held: int, sample: int) -> DataFrame:
     """Texts of a bounded sample of the labels whose id is outside the held-out fold."""
-    from .common import id_crc
-
     own = labels.filter((F.pmod(id_crc(), F.lit(fold)) != held) & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias(label))
-    ids = bounded(own, [label], sample)  # 2 * sample rows a class at most, so it may be broadcast
+    ids = bounded(own, label, sample)  # sample rows a class at most, so it may be broadcast
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
 
@@ -141,34 +139,29 @@ _stores: dict[str, WordScores] = {}
 
 def scored(docs: DataFrame, model: QualityModel | None, *keep: str) -> DataFrame:
     """doc_id, the columns ``keep``, score (probability of class 1) of every row."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    sent = spark.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     key = uuid.uuid4().hex  # the workers' stores outlive a job
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: list[str]) -> dict:
         own = sent.value
+        score = np.full(len(texts), 0.5)
+        if own is None:
+            return {"score": score}
         store = _stores.get(key)
-        if store is None and own is not None:
+        if store is None:
             _stores.clear()
             store = _stores[key] = WordScores(own.word_values, 1)
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-            score = np.full(len(texts), 0.5)
-            if own is not None:
-                mark, bias = own.margins()[REPEAT], own.bias[1] - own.bias[0]
-                for a, b in text_chunks(texts):
-                    words = [tokens_of(t) for t in texts[a:b]]
-                    at = store.look([w for x in words for w in x])
-                    lens = np.array([len(x) for x in words])
-                    sums = by_document(store.rows[at], lens)[:, 0]
-                    doc = np.repeat(np.arange(len(words)), lens)
-                    again = (at[1:] == at[:-1]) & (doc[1:] == doc[:-1]) if len(at) else np.zeros(0, bool)
-                    twice = np.bincount(doc[1:][again], minlength=len(words)) if len(at) else np.zeros(len(words))
-                    z = (sums + twice * mark) / np.maximum(lens + twice, 1) + bias
-                    score[a:b] = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            yield pdf.drop(columns="text").assign(score=score)
-
-    types = dict(docs.dtypes)
-    schema = ", ".join(["doc_id long", *(f"`{c}` {types[c]}" for c in keep), "score double"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
+        mark, bias = own.margins()[REPEAT], own.bias[1] - own.bias[0]
+        for a, b in text_chunks(texts):
+            words = [tokens_of(t) for t in texts[a:b]]
+            at = store.look([w for x in words for w in x])
+            lens = np.array([len(x) for x in words])
+            sums = by_document(store.rows[at], lens)[:, 0]
+            doc = np.repeat(np.arange(len(words)), lens)
+            again = (at[1:] == at[:-1]) & (doc[1:] == doc[:-1]) if len(at) else np.zeros(0, bool)
+            twice = np.bincount(doc[1:][again], minlength=len(words)) if len(at) else np.zeros(len(words))
+            z = (sums + twice * mark) / np.maximum(lens + twice, 1) + bias
+            score[a:b] = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        return {"score": score}
+
+    return over_texts(docs, run, "score double", *keep)
