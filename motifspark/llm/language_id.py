@@ -6,13 +6,18 @@ in a language is the sum over all its segmentations into pieces, by a forward pa
 log probability is the sum over its words. The forward pass runs on matrices of distinct
 words, and words that come again keep their values.
 
-Words are runs of letters, lower-cased, with a word mark in front; a word of over ``SEGMENT``
-letters is scored in segments of that many. A letter that is no piece has a floor probability.
+Words are runs of letters (Unicode letters, no numbers), lower-cased, with a word mark in
+front, of any length: the forward pass holds the last ``LONGEST`` positions, rescaled as it
+goes, so all segmentations of a word count however long it is. A letter that is no piece has
+a floor probability.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0. Ties go to the
-first language by code point. Without training rows every text is ``und``. Rows repeating a
-doc_id are answered each. The sample: about ``SAMPLE`` rows a language with texts of at most
-20,000 characters, chosen by a hash of doc_id, is all that is fitted on.
+first language by code point. Without training rows every text is ``und``; an empty table
+gives no rows. Rows repeating a doc_id are answered each; a null doc_id is carried along.
+Columns other than doc_id and text take part in no prediction, whatever their names; those
+asked for are carried as they are. The fit: ``SAMPLE`` whole texts a language at most, chosen
+by a hash of doc_id, of the ``LANGS`` languages with most rows; a word of over ``TAUGHT`` letters
+teaches nothing.
 """
 
 from __future__ import annotations
@@ -20,17 +25,18 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordScores, bounded, by_document, grid, small_batches, spans, text_chunks
+from .common import WordScores, bounded, by_document, grid, over_texts, spans, text_chunks
 
-LETTERS = re.compile(r"[^\W\d_]+")
-SAMPLE, LONGEST, SEGMENT = 400, 8, 23
+#: Numbers that are no decimal digits (such as fractions) are word characters too, but no letters.
+NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{NUMBERS}]+")
+SAMPLE, LANGS, LONGEST, TAUGHT = 400, 200, 8, 600
+CELLS, BLOCK = 400_000, 4096
 MARK = "▁"
 FLOOR = 1e-8
 
@@ -97,20 +103,46 @@ class LanguageModel:
         return [(n, self.table.find(h)) for n, h in spans(codes, LONGEST)], lens
 
     def word_values(self, words: list[str]) -> np.ndarray:
-        """Log probability of each word in each language: one forward pass over all."""
+        """Log probability of each word in each language."""
         out = np.zeros((len(words), len(self.langs)))
-        cut = [(i, MARK * (k == 0) + w[k : k + SEGMENT]) for i, w in enumerate(words) for k in range(0, len(w), SEGMENT)]
-        cut.sort(key=lambda x: len(x[1]))
-        for a in range(0, len(cut), 20_000):
-            own = cut[a : a + 20_000]
-            lat, lens = self.lattice([w for _, w in own])
-            alpha = self.forward(lat, lens)
-            np.add.at(out, [i for i, _ in own], np.log(alpha[np.arange(len(own)), lens]))
+        for at, own in batches_of([MARK + w for w in words]):
+            out[at] = self.log_forward(own)
         return out
 
-    def forward(self, lat: list, lens: np.ndarray) -> np.ndarray:
+    def log_forward(self, words: list[str]) -> np.ndarray:
+        """The forward pass over words sorted by length: memory holds ``LONGEST`` positions and a block's lattice."""
+        lens = np.array([len(w) for w in words])
+        out, scale = np.zeros((len(words), len(self.langs))), np.zeros((len(words), len(self.langs)))
+        ring = [np.zeros_like(out) for _ in range(LONGEST)]  # position e at e % LONGEST
+        ring[0] += 1
+        for start in range(0, int(lens[-1]), BLOCK):
+            stop, low = min(start + BLOCK, int(lens[-1])), max(0, start - LONGEST + 1)
+            codes, _ = grid([w[low:stop] for w in words], stop - low)
+            lat = [(n, self.table.find(h)) for n, h in spans(codes, LONGEST)]
+            for e in range(start + 1, stop + 1):
+                now = np.zeros_like(out)
+                for n, ids in lat:
+                    if n <= e:
+                        own, before = ids[:, e - n - low], ring[(e - n) % LONGEST]
+                        if n == 1:
+                            now += before * np.maximum(self.probs[own], FLOOR)
+                        elif len(hit := np.flatnonzero(own != self.table.n)):
+                            now[hit] += before[hit] * self.probs[own[hit]]
+                ring[e % LONGEST] = now
+                if e % 16 == 0:  # before anything can underflow
+                    top = np.max(ring, axis=0)
+                    scale += np.log(top)
+                    for x in ring:
+                        x /= top
+                    now = ring[e % LONGEST]
+                a, b = np.searchsorted(lens, [e, e + 1])
+                out[a:b] = np.log(now[a:b]) + scale[a:b]
+        return out
+
+    def forward(self, lat: list, lens: np.ndarray, kind=np.float64) -> np.ndarray:
+        """All positions' sums, unscaled, as the fit needs them."""
         width = int(lens.max())
-        alpha = np.zeros((len(lens), width + 1, len(self.langs)))
+        alpha = np.zeros((len(lens), width + 1, len(self.langs)), kind)
         alpha[:, 0] = 1
         for e in range(1, width + 1):
             for n, ids in lat:
@@ -125,20 +157,20 @@ class LanguageModel:
     def fit(self, counts: list[Counter], rounds: int = 5, smooth: float = 0.05) -> "LanguageModel":
         """Expected piece counts over all segmentations, ``rounds`` times."""
         for j, count in enumerate(counts):
-            words = sorted(MARK + w[:SEGMENT] for w in count if w)
-            words.sort(key=len)
-            weight = np.array([count[w[1:]] for w in words], np.float64)
-            weight[weight == 0] = 1
+            words = sorted(w for w in count if w and len(w) <= TAUGHT)
+            weight = np.array([count[w] for w in words], np.float64)
+            parts = list(batches_of([MARK + w for w in words]))
             one = LanguageModel([self.langs[j]], [])
             one.table = self.table
             p = self.probs[:, j : j + 1].copy()
             for _ in range(rounds):
                 one.probs = p
                 got = np.zeros(self.table.n + 1)
-                for a in range(0, len(words), 20_000):
-                    own, w = words[a : a + 20_000], weight[a : a + 20_000]
+                for at, own in parts:
+                    w = weight[at]
                     lat, lens = one.lattice(own)
-                    alpha = one.forward(lat, lens)[:, :, 0]
+                    kind = np.float64 if lens.max() <= 30 else np.longdouble  # 600 letters at the floor: 1e-4800
+                    alpha = one.forward(lat, lens, kind)[:, :, 0]
                     beta = np.zeros_like(alpha)
                     beta[np.arange(len(own)), lens] = 1
                     total = alpha[np.arange(len(own)), lens]
@@ -150,19 +182,32 @@ class LanguageModel:
                                 q = np.maximum(q, FLOOR) if n == 1 else q
                                 flow = q * beta[hit, s + n]
                                 beta[hit, s] += flow
-                                np.add.at(got, ids[hit, s], w[hit] * alpha[hit, s] * flow / total[hit])
+                                np.add.at(got, ids[hit, s], (w[hit] * alpha[hit, s] * flow / total[hit]).astype(np.float64))
                 got = got[:-1] + smooth
                 p = np.append(got / got.sum(), 0)[:, None]
             self.probs[:, j] = p[:, 0]
         return self
 
 
-def train(rows: DataFrame, sample: int = SAMPLE, pieces: list[str] | None = None) -> LanguageModel:
-    """Fit on a bounded sample of ``rows`` (doc_id, text, lang)."""
-    own = bounded(rows.filter("lang is not null and text is not null").select("doc_id", "lang", "text"), ["lang"], sample)
+def batches_of(words: list[str]):
+    """(places, words) by ascending length: few lengths and ``CELLS`` letters or one word at a time."""
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    a = 0
+    for b in range(1, len(order) + 1):
+        if b == len(order) or (b + 1 - a) * len(words[order[b]]) > CELLS or len(words[order[b]]) > 30 >= len(words[order[a]]):
+            yield order[a:b], [words[i] for i in order[a:b]]
+            a = b
+
+
+def train(rows: DataFrame, sample: int = SAMPLE, pieces: list[str] | None = None, most: int = LANGS) -> LanguageModel:
+    """Fit on a bounded sample of ``rows`` (doc_id, text, lang): ids are chosen first, their texts joined."""
+    known = rows.filter("lang is not null and text is not null and doc_id is not null")
+    langs = [r["lang"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()]
+    ids = bounded(known.filter(F.col("lang").isin(langs)).select("doc_id", "lang"), "lang", sample)  # most * sample ids at most: may be broadcast
+    own = known.select("doc_id", "lang", "text").join(F.broadcast(ids.distinct()), ["doc_id", "lang"])
     counts: dict[str, Counter] = {}
-    for lang, text in own.toPandas()[["lang", "text"]].itertuples(index=False):
-        counts.setdefault(lang, Counter()).update(letters_of(text))
+    for row in own.toLocalIterator():
+        counts.setdefault(row["lang"], Counter()).update(letters_of(row["text"]))
     langs = sorted(counts)
     return LanguageModel(langs, pieces or vocabulary_pieces()).fit([counts[x] for x in langs])
 
@@ -172,12 +217,10 @@ _models: dict[str, WordScores] = {}
 
 def identified(docs: DataFrame, model: LanguageModel, *keep: str) -> DataFrame:
     """doc_id, the columns ``keep``, lang_pred, score of every row."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    sent = spark.sparkContext.broadcast((model.langs, model.table, model.probs))  # pieces x languages numbers
+    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.table, model.probs))  # pieces x languages numbers
     key = uuid.uuid4().hex  # the workers' stores outlive a job
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: list[str]) -> dict:
         langs, table, probs = sent.value
         own = LanguageModel(langs, [])
         own.table, own.probs = table, probs
@@ -185,22 +228,17 @@ def identified(docs: DataFrame, model: LanguageModel, *keep: str) -> DataFrame:
         if store is None and langs:
             _models.clear()
             store = _models[key] = WordScores(own.word_values, len(langs))
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-            pred, score = ["und"] * len(texts), np.zeros(len(texts))
-            for a, b in text_chunks(texts) if langs else ():
-                words = [letters_of(t) for t in texts[a:b]]
-                at = store.look([w for x in words for w in x])
-                sums = by_document(store.rows[at], [len(x) for x in words])
-                post = np.exp(sums - sums.max(axis=1, keepdims=True))
-                post /= post.sum(axis=1, keepdims=True)
-                for i, x in enumerate(words):
-                    if x:
-                        best = int(np.argmax(post[i]))
-                        pred[a + i], score[a + i] = langs[best], post[i, best]
-            out = pdf.drop(columns="text")
-            yield out.assign(lang_pred=pred, score=np.clip(score, 0, 1))
-
-    types = dict(docs.dtypes)
-    schema = ", ".join(["doc_id long", *(f"`{c}` {types[c]}" for c in keep), "lang_pred string", "score double"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
+        pred, score = ["und"] * len(texts), np.zeros(len(texts))
+        for a, b in text_chunks(texts) if langs else ():
+            words = [letters_of(t) for t in texts[a:b]]
+            at = store.look([w for x in words for w in x])
+            sums = by_document(store.rows[at], [len(x) for x in words])
+            post = np.exp(sums - sums.max(axis=1, keepdims=True))
+            post /= post.sum(axis=1, keepdims=True)
+            for i, x in enumerate(words):
+                if x:
+                    best = int(np.argmax(post[i]))
+                    pred[a + i], score[a + i] = langs[best], post[i, best]
+        return {"lang_pred": pred, "score": np.clip(score, 0, 1)}
+
+    return over_texts(docs, run, "lang_pred string, score double", *keep)
