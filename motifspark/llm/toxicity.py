@@ -3,18 +3,22 @@
 A lexical transducer, a character trie whose arcs carry weights, rewrites each word to a
 symbol: insult, threat, target, negation, reported speech, or other. Four small transducers
 (target, negation, reported speech, and the one that accepts insults and threats) are
-composed into one machine over those symbols. It reads a text clause by clause and emits
-matches of the kinds plain, targeted, negated and reported insult, and threat. Beginnings
-that clean texts use too are hints, which count by their number a thousand words. A score is a logistic function of its matches, weighted by kind and by lexical weight.
+composed into one machine over those symbols. It reads a text clause by clause and gives
+each clause its matches: plain, targeted, negated or reported insult, or threat. A clause
+counts once for a kind, by its strongest match. A score is a logistic function of the matched
+clauses: a targeted insult or a threat is enough, plain ones must come in more than one
+clause, and negated and reported ones are no evidence. A word alone scores nothing.
 
 Fitted on a bounded sample of labelled rows: which words and word beginnings are insults,
 with weights from log odds, and the weights of the kinds, held near given ones. A beginning
 counts by the distinct contexts it stands in, so that copies of a text are no evidence.
 
 Defined cases: a null or empty text has no match and scores as such (near 0). Without
-labels the given words and weights hold. A clause ends at a stop, a semicolon or a line end.
-Texts are read whole. Rows repeating a doc_id are answered each. The sample: about
-``SAMPLE`` labelled rows a class with texts of at most 20,000 characters.
+labels the given words and weights hold, as they do on an empty table, which gives no rows.
+A clause ends at a stop, a semicolon or a line end. Texts of any length are read whole. Rows
+repeating a doc_id are answered each; a null doc_id is carried along. Matches of equal weight
+in a clause count as one. Columns other than doc_id and text are carried as they are where
+asked for, whatever their names. The sample: ``SAMPLE`` labelled rows a class at most.
 """
 
 from __future__ import annotations
@@ -26,14 +30,13 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordScores, bounded, by_document, small_batches, text_chunks
+from .common import WordScores, bounded, by_document, kept_texts, over_texts, text_chunks
 
-SAMPLE = 1000
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END, HINT = range(8)
+SAMPLE = 2000
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;\n\r]")
 
 LEXICON = {
@@ -43,8 +46,9 @@ LEXICON = {
     THREAT: "kill hurt destroy murder stab shoot beat strangle tuer frapper töten schlagen umbringen matar golpear",
     INSULT: "idiot idiots moron morons imbecile stupid loser losers scumbag bastard",
 }
-KINDS = ("plain", "targeted", "negated", "reported", "threat", "hint")
-PRIOR = np.array([-4.0, 4.0, 5.0, 1.0, 1.0, 4.0, 1.8])  # no match; then the kinds
+KINDS = ("plain", "targeted", "negated", "reported", "threat")
+PRIOR = np.array([-4.0, 3.0, 6.0, 0.0, 0.0, 6.0])  # no match; then the kinds
+PULL = np.array([0.5, 0.5, 20.0, 1.0, 1.0, 20.0])  # how firmly the given weights hold
 
 
 class Transducer:
@@ -79,7 +83,7 @@ def _mark(symbol, flag: str):
 
 def grammar(reach: int = 3) -> Transducer:
     """hits . target . negation . report, as one machine over the lexical symbols."""
-    symbols = range(8)
+    symbols = range(7)
     hits = [(s, frozenset(f)) for s in (INSULT, THREAT) for f in ((), ("T",), ("N",), ("T", "N"))]
     accept = Transducer({(0, s): ((s, frozenset()), 0) for s in (INSULT, THREAT)})
     target = {(0, TARGET): (TARGET, 1), (1, END): (END, 0)} | {(1, h): (_mark(h, "T"), 1) for h in hits}
@@ -87,7 +91,7 @@ def grammar(reach: int = 3) -> Transducer:
     negation = {(0, NEGATION): (NEGATION, reach)}
     for n in range(1, reach + 1):
         negation |= {(n, END): (END, 0), (n, NEGATION): (NEGATION, reach)} | {(n, h): (_mark(h, "N"), 0) for h in hits}
-        negation |= {(n, s): (s, n - 1) for s in (OTHER, TARGET, REPORT, HINT)}
+        negation |= {(n, s): (s, n - 1) for s in (OTHER, TARGET, REPORT)}
     report = {(0, REPORT): (REPORT, 1), (1, END): (END, 0)} | {(1, h): (_mark(h, "R"), 1) for h in hits}
     machine = accept.then(Transducer(target), symbols)
     machine = machine.then(Transducer(negation), symbols)
@@ -145,24 +149,23 @@ class ToxicModel:
         self.lexicon, self.machine, self.weights = Lexicon(), grammar(), PRIOR.copy()
 
     def matches(self, symbols: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """The summed weights of a text's matches by kind."""
+        """The weights of a text's matched clauses by kind: of each clause and kind the strongest match."""
         out = np.zeros(len(KINDS))
-        hints = weights[(symbols == HINT)].sum()
-        out[-1] = hints / max(1.0, len(symbols) / 1000)
         at = np.flatnonzero((symbols == INSULT) | (symbols == THREAT))
         if not len(at):
-            return np.minimum(out, 6.0)
+            return out
         ends = np.concatenate([[-1], np.flatnonzero(symbols == END), [len(symbols)]])
         for c in np.unique(np.searchsorted(ends, at)):  # the clauses with a hit
             own = symbols[ends[c - 1] + 1 : ends[c]].astype(int).tolist()
             own_weights = weights[ends[c - 1] + 1 : ends[c]]
             last = max((i for i, s in enumerate(own) if s == TARGET), default=-1)
-            state = self.machine.start
+            state, best = self.machine.start, np.zeros(len(KINDS))
             for i, s in enumerate(own):
                 hit, state = self.machine.step(state, s)
                 if isinstance(hit, tuple) and (kind := kind_of(hit, i < last)) is not None:
-                    out[kind] += own_weights[i]
-        return np.minimum(out, 6.0)
+                    best[kind] = max(best[kind], own_weights[i])
+            out += best
+        return out
 
     def score(self, found: np.ndarray) -> np.ndarray:
         z = self.weights[0] + np.atleast_2d(found) @ self.weights[1:]
@@ -205,44 +208,42 @@ class ToxicModel:
                     context = (w, t[i - 1] if i else "", t[i + 1] if i + 1 < len(t) else "")
                     for b in own:
                         seen[y].setdefault(b, set()).add(context)
-        done: set[str] = set()  # beginnings that are in the trie
-        sure: set[str] = set()  # of those, the insults
+        known: set[str] = set()  # beginnings that are in the trie
         for b in sorted(seen[1], key=lambda x: (len(x) - x.endswith("$"), x)):
             whole = b.endswith("$")
             text = b.rstrip("$")
-            if any(text[:k] in (sure if whole else done) for k in range(3, len(text))):
+            if any(text[:k] in known for k in range(3, len(text))):
                 continue
             bad, good = len(seen[1][b]), len(seen[0].get(b, ()))
-            if bad * gain < proof or good * (25 if whole else 8) > bad:
+            if bad * gain < proof or good * 8 > bad:
                 continue
             if not whole and len({w for w, *_ in seen[1][b]}) < 3:
                 continue  # a beginning must carry several words
-            if not whole and good * 100 > bad:
-                self.lexicon.add(text, HINT, 1.0, whole)
-                done.add(text)
-                continue
             odds = math.log((bad + 0.5) / mass[1]) - math.log((good + 0.5) / mass[0])
-            self.lexicon.add(text, INSULT, min(2.0, max(0.2, odds / 4)), whole)
+            self.lexicon.add(text, INSULT, min(1.0, max(0.2, (odds - 2) / 4)), whole)
             if not whole:
-                done.add(text)
-                sure.add(text)
+                known.add(text)
+
+    def _learn_kinds(self, x: np.ndarray, y: np.ndarray, rounds: int = 25) -> None:
+        """Logistic regression by Newton steps; ``PULL`` draws the weights to the given ones.
 
-    def _learn_kinds(self, x: np.ndarray, y: np.ndarray, pull: float = 0.5, rounds: int = 25) -> None:
-        """Logistic regression by Newton steps; ``pull`` draws the weights to the given ones."""
+        Negated and reported matches stay without weight: that a labelled text has some does not make them evidence.
+        """
+        free = np.array([True, *(k not in ("negated", "reported") for k in KINDS)])
         a = np.hstack([np.ones((len(x), 1)), x])
         w = PRIOR.copy()
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-            grad = a.T @ (p - y) + pull * (w - PRIOR)
-            hess = (a * (p * (1 - p))[:, None]).T @ a + pull * np.eye(a.shape[1])
-            w = w - np.linalg.solve(hess, grad)
+            grad = a.T @ (p - y) + PULL * (w - PRIOR)
+            hess = (a * (p * (1 - p))[:, None]).T @ a + np.diag(PULL)
+            w[free] -= np.linalg.solve(hess[np.ix_(free, free)], grad[free])
         self.weights = w
 
 
 def train(rows: DataFrame, sample: int = SAMPLE) -> ToxicModel:
     """Fit on a bounded sample of ``rows`` (doc_id, text, toxic)."""
     own = rows.filter(F.col("toxic").isin(0, 1) & F.col("text").isNotNull()).select("doc_id", "toxic", "text")
-    pdf = bounded(own, ["toxic"], sample).toPandas().sort_values(["doc_id", "text"])
+    pdf = bounded(own, "toxic", sample).toPandas().sort_values(["doc_id", "text"])
     model = ToxicModel()
     return model.fit(list(pdf["text"]), pdf["toxic"].to_numpy(np.int64)) if pdf["toxic"].nunique() == 2 else model
 
@@ -250,40 +251,44 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> ToxicModel:
 _stores: dict[str, WordScores] = {}
 
 
-def scored(docs: DataFrame, model: ToxicModel, *keep: str) -> DataFrame:
-    """doc_id, the columns ``keep``, score, and the matches of each kind, of every row."""
-    spark = docs.sparkSession
-    small_batches(spark)
+def _finder(spark: SparkSession, model: ToxicModel):
+    """A function of texts, for the tasks, that gives the matched clauses by kind, a row a text."""
     sent = spark.sparkContext.broadcast(model)
     key = uuid.uuid4().hex  # the workers' stores outlive a job
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found_in(texts: list[str]) -> np.ndarray:
         own = sent.value
         store = _stores.get(key)
         if store is None:
             _stores.clear()
             store = _stores[key] = WordScores(own.lexicon.values, 2)
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-            found = np.zeros((len(texts), len(KINDS)))
-            for a, b in text_chunks(texts):
-                words = [tokens_of(t) for t in texts[a:b]]
-                at = store.look([w for x in words for w in x])
-                v = store.rows[at]
-                end = np.cumsum([len(x) for x in words])
-                hits = by_document(((v[:, :1] == INSULT) | (v[:, :1] == THREAT) | (v[:, :1] == HINT)).astype(np.float64), [len(x) for x in words])[:, 0]
-                for i in np.flatnonzero(hits):
-                    own_v = v[end[i] - len(words[i]) : end[i]]
-                    found[a + i] = own.matches(own_v[:, 0], own_v[:, 1])
-            out = pdf.drop(columns="text").assign(score=own.score(found))
-            yield out.assign(**{k: found[:, i] for i, k in enumerate(KINDS)})
-
-    types = dict(docs.dtypes)
-    schema = ", ".join(["doc_id long", *(f"`{c}` {types[c]}" for c in keep), "score double", *(f"{k} double" for k in KINDS)])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
+        found = np.zeros((len(texts), len(KINDS)))
+        for a, b in text_chunks(texts):
+            words = [tokens_of(t) for t in texts[a:b]]
+            lens = [len(x) for x in words]
+            v = store.rows[store.look([w for x in words for w in x])]
+            end = np.cumsum(lens)
+            hits = by_document(((v[:, :1] == INSULT) | (v[:, :1] == THREAT)).astype(np.float64), lens)[:, 0]
+            for i in np.flatnonzero(hits):
+                own_v = v[end[i] - lens[i] : end[i]]
+                found[a + i] = own.matches(own_v[:, 0], own_v[:, 1])
+        return found
+
+    return found_in, sent
+
+
+def scored(docs: DataFrame, model: ToxicModel, *keep: str) -> DataFrame:
+    """doc_id, the columns ``keep``, score, and the matched clauses of each kind, of every row."""
+    found_in, sent = _finder(docs.sparkSession, model)
+
+    def run(texts: list[str]) -> dict:
+        found = found_in(texts)
+        return {"score": sent.value.score(found)} | {k: found[:, i] for i, k in enumerate(KINDS)}
+
+    return over_texts(docs, run, "score double, " + ", ".join(f"{k} double" for k in KINDS), *keep)
 
 
 def filtered(docs: DataFrame, model: ToxicModel, reject: float = 0.5) -> DataFrame:
-    """The documents that score below ``reject``, in all their columns, in one pass."""
-    key = docs.withColumn("_doc", F.struct(*docs.columns)).select("doc_id", "text", "_doc")
-    return scored(key, model, "_doc").filter(F.col("score") < reject).select("_doc.*")
+    """The documents that score below ``reject``, in all their columns, in one pass without a shuffle."""
+    found_in, sent = _finder(docs.sparkSession, model)
+    return kept_texts(docs, lambda texts: sent.value.score(found_in(texts)) < reject)
