@@ -8,11 +8,13 @@ pass searches one seed shard for each query block; its k-th scores then go with
 queries to all shards, so that most trees are cut near the root.
 
 Defined cases: vectors null, empty, or holding null or non-finite components take no part
-(neither as query nor candidate). Only vectors of equal length are compared. A row that
-repeats an id and its components counts once; rows of one id with other components are
-candidates of their own, and none is a candidate of its own id. Fewer candidates than k:
-all are returned. Ties go to the smaller id. Empty tables give no rows. Other columns of
-the input are ignored. Inner products that leave 53 bits are worked out in Python integers.
+(neither as query nor candidate), nor do rows of null id. Only vectors of equal length are
+compared. A candidate of a query is every row but the query's own: rows that repeat its id, or
+its id and components, are candidates and queries of their own. Fewer candidates than k: all
+are returned. Ties go to the smaller id. Empty tables give no rows. Other columns of the input
+are ignored, whatever their names. Components stop at the ends of a long; inner products that
+leave 53 bits are worked out in Python integers, and one beyond a long counts as the nearest
+long. Vectors of any length are compared whole.
 """
 
 from __future__ import annotations
@@ -34,7 +36,8 @@ SAFE = float(2**52)
 class KdTree:
     """Points sorted into nodes: arrays of boxes, children, and slices of points."""
 
-    def __init__(self, ids: np.ndarray, points: np.ndarray, leaf: int = LEAF):
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, whole: np.ndarray, leaf: int = LEAF):
+        points = whole.astype(np.float64)
         self.lo, self.hi, self.kids, self.slice, self.least = [], [], [], [], []
         order = np.arange(len(ids))
         # Within equal components the smaller ids come first.
@@ -59,7 +62,8 @@ class KdTree:
                 order[a:b] = order[a:b][cut]
                 stack += [(a, a + mid, me, 0), (a + mid, b, me, 1)]
         self.lo, self.hi = np.array(self.lo), np.array(self.hi)
-        self.ids, self.points = ids[order], points[order]
+        self.ids, self.rows, self.points, self.whole = ids[order], rows[order], points[order], whole[order]
+        self.top = float(np.abs(self.points).max())
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """The largest inner product each box admits: queries x nodes."""
@@ -67,9 +71,10 @@ class KdTree:
         return pos @ self.hi.T + neg @ self.lo.T
 
     def search(self, query: np.ndarray, own: int, k: int, bound: np.ndarray, floor: float, exact: bool):
-        """At most k (score, id) that beat or equal ``floor``, best first."""
+        """At most k (score, id) that beat or equal ``floor``, best first; the row ``own`` takes no part."""
         best: list[tuple[float, int]] = []  # a heap of (score, -id)
         open_ = [(-bound[0], 0)]
+        near = query.astype(np.float64) if exact else None
         while open_:
             b, node = heapq.heappop(open_)
             kth = best[0][0] if len(best) == k else floor
@@ -83,15 +88,14 @@ class KdTree:
                 heapq.heappush(open_, (-bound[right], right))
                 continue
             x, y = self.slice[node]
-            ids = self.ids[x:y]
-            scores = self.points[x:y] @ query
-            if not exact:
-                scores = [sum(int(p) * int(q) for p, q in zip(row, query)) for row in self.points[x:y]]
-                keep = [i for i, s in enumerate(scores) if s >= kth and ids[i] != own]
+            if exact:
+                scores = self.points[x:y] @ near
+                keep = np.flatnonzero((scores >= kth) & (self.rows[x:y] != own))
             else:
-                keep = np.flatnonzero((scores >= kth) & (ids != own))
+                scores = [_long(sum(int(p) * int(q) for p, q in zip(row, query))) for row in self.whole[x:y]]
+                keep = [i for i, s in enumerate(scores) if s >= kth and self.rows[x + i] != own]
             for i in keep:
-                item = (scores[i] if not exact else float(scores[i]), -int(ids[i]))
+                item = (float(scores[i]) if exact else scores[i], -int(self.ids[x + i]))
                 if len(best) < k:
                     heapq.heappush(best, item)
                 elif item > best[0]:
@@ -99,6 +103,10 @@ class KdTree:
         return sorted(((s, -i) for s, i in best), key=lambda x: (-x[0], x[1]))
 
 
+def _long(x: int) -> int:
+    return max(-(1 << 63), min((1 << 63) - 1, x))
+
+
 def quantise(col: Column, scale: int) -> Column:
     """floor(scale * x) of each component, null where the vector takes no part."""
     bad = F.exists(col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
@@ -110,39 +118,37 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
           scale: int = 1024, shard_rows: int = 8192, block: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: for each query the k largest integer inner products."""
     spark = vectors.sparkSession
+    # A row's number is written with it, so that it is the same wherever the row is read.
     base = vectors.select(
-        F.col(id_col).cast("long").alias("vid"), quantise(F.col(vector_col), scale).alias("v"), is_query.alias("q")
+        F.col(id_col).cast("long").alias("vid"), quantise(F.col(vector_col), scale).alias("v"), is_query.alias("q"), F.monotonically_increasing_id().alias("row")
     ).filter("v is not null and vid is not null")
     base = written(base, "topk-vectors")
     n = base.count()
     shards = max(1, -(-n // shard_rows))
-    # Copies of a query row go before queries are dealt out: two calls cannot know of each other's.
-    asked = written(base.filter("q").select("vid", "v").dropDuplicates(["vid", "v"]), "topk-queries")
+    asked = base.filter("q")
     blocks = max(1, -(-asked.count() // block))
-    deal = F.pmod(F.xxhash64(F.lit(11), "vid"), F.lit(shards)).cast("int")
-    points = base.select(deal.alias("shard"), F.lit(0).alias("side"), F.lit(0).alias("qblock"), "vid", "v",
-                         F.lit(None).cast("double").alias("floor"))
-    queries = asked.select(
-        F.pmod(F.xxhash64(F.lit(13), "vid"), F.lit(blocks)).cast("int").alias("qblock"), "vid", "v")
+    deal = F.pmod(F.xxhash64(F.lit(11), "row"), F.lit(shards)).cast("int")
+    points = base.select(deal.alias("shard"), F.lit(0).alias("side"), F.lit(0).alias("qblock"), "row", "vid", "v", F.lit(None).cast("double").alias("floor"))
+    queries = asked.select(F.pmod(F.xxhash64(F.lit(13), "row"), F.lit(blocks)).cast("int").alias("qblock"), "row", "vid", "v")
 
     def run(side: DataFrame) -> DataFrame:
         # One shuffle brings a shard's points and the query blocks that visit it together.
-        both = points.unionByName(side.select("shard", F.lit(1).alias("side"), "qblock", "vid", "v", "floor"))
-        dealt = both.repartition(min(parts(spark, 1) * 4, shards) if shards > 1 else 1, "shard").sortWithinPartitions("shard", "side", "qblock", "vid")
-        return dealt.mapInPandas(lambda it: _search(it, k, block), "query_id long, qv array<long>, qblock int, vec_id long, score long")
+        both = points.unionByName(side.select("shard", F.lit(1).alias("side"), "qblock", "row", "vid", "v", "floor"))
+        dealt = both.repartition(min(parts(spark, 1) * 4, shards) if shards > 1 else 1, "shard").sortWithinPartitions("shard", "side", "qblock", "row")
+        return dealt.mapInPandas(lambda it: _search(it, k, block), "row long, query_id long, vec_id long, score long")
 
     seed = queries.withColumn("shard", F.pmod(F.col("qblock"), F.lit(shards)).cast("int")).withColumn("floor", F.lit(None).cast("double"))
     if shards > 1:
         first = run(seed)
-        kth = first.groupBy("query_id", "qv").agg(F.count("*").alias("n"), F.min("score").alias("kth")).filter(F.col("n") >= k)
-        known = queries.join(kth.select(F.col("query_id").alias("vid"), F.col("qv").alias("v"), "kth"), ["vid", "v"], "left")
-        rest = known.select("qblock", "vid", "v", F.col("kth").cast("double").alias("floor"),
+        kth = first.groupBy("row").agg(F.count("*").alias("n"), F.min("score").alias("kth")).filter(F.col("n") >= k)
+        known = queries.join(kth.select("row", "kth"), "row", "left")
+        rest = known.select("qblock", "row", "vid", "v", F.col("kth").cast("double").alias("floor"),
                             F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
         found = run(rest)
     else:
         found = run(seed)
     # Spark keeps k rows a query in each task before the shuffle (a window group limit).
-    order = Window.partitionBy("query_id", "qv").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -155,7 +161,7 @@ def _search(batches: Iterator[pd.DataFrame], k: int, block: int) -> Iterator[pd.
                 shard, rows, trees = s, [], None
             pts = own[own["side"] == 0]
             if len(pts):
-                rows.append((pts["vid"].to_numpy(), list(pts["v"])))
+                rows.append(pts[["vid", "row", "v"]])
             ask = own[own["side"] == 1]
             if len(ask):
                 if trees is None:
@@ -167,12 +173,12 @@ def _search(batches: Iterator[pd.DataFrame], k: int, block: int) -> Iterator[pd.
                         yield out
 
 
-def _trees(rows: list) -> dict[int, KdTree]:
-    by: dict[int, dict] = {}
-    for ids, vectors in rows:
-        for i, v in zip(ids, vectors):
-            by.setdefault(len(v), {})[(int(i), v.tobytes())] = v
-    return {d: KdTree(np.array([i for i, _ in own], np.int64), np.stack(list(own.values())).astype(np.float64)) for d, own in by.items()}
+def _trees(rows: list[pd.DataFrame]) -> dict[int, KdTree]:
+    """A tree for each length of vectors."""
+    if not rows:
+        return {}
+    every = pd.concat(rows)
+    return {d: KdTree(own["vid"].to_numpy(np.int64), own["row"].to_numpy(np.int64), np.stack(list(own["v"])).astype(np.int64)) for d, own in every.groupby(every["v"].map(len))}
 
 
 def _answer(trees: dict[int, KdTree], ask: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -181,13 +187,14 @@ def _answer(trees: dict[int, KdTree], ask: pd.DataFrame, k: int) -> pd.DataFrame
         tree = trees.get(d)
         if tree is None:
             continue
-        qs = np.stack(list(own["v"])).astype(np.float64)
+        whole = np.stack(list(own["v"])).astype(np.int64)
+        qs = whole.astype(np.float64)
         bounds = tree.bounds(qs)
-        top = np.abs(tree.points).max() * np.abs(qs).max() * d
-        exact = bool(top < SAFE)
+        top = tree.top * float(np.abs(qs).max()) * d
+        exact = top < SAFE
         if not exact:  # round-off must not cut a box
             bounds = bounds + np.abs(bounds) * 1e-9 + top * 1e-12
-        for j, (vid, v, floor, b) in enumerate(zip(own["vid"], own["v"], own["floor"], own["qblock"])):
+        for j, (row, vid, floor) in enumerate(zip(own["row"], own["vid"], own["floor"])):
             low = -np.inf if floor is None or floor != floor else float(floor) - (0 if exact else abs(float(floor)) * 1e-9)
-            out += [(vid, v, b, i, int(s)) for s, i in tree.search(qs[j], vid, k, bounds[j], low, exact)]
-    return pd.DataFrame(out, columns=["query_id", "qv", "qblock", "vec_id", "score"])
+            out += [(row, vid, i, int(s)) for s, i in tree.search(whole[j], row, k, bounds[j], low, exact)]
+    return pd.DataFrame(out, columns=["row", "query_id", "vec_id", "score"])

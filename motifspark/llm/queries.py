@@ -73,17 +73,17 @@ QUERIES = {f.__name__: f for f in (
 ORACLE_SQL = {
     "op1_exact_topk": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), s AS (
-  SELECT q.vec_id AS query_id, p.vec_id AS vec_id,
+), n AS MATERIALIZED (SELECT * FROM v), s AS (
+  SELECT q.row AS row, q.vec_id AS query_id, p.vec_id AS vec_id,
          CAST(list_sum(list_transform(list_zip(q.c, p.c), lambda z: z[1] * z[2])) AS BIGINT) AS score
-  FROM v q JOIN v p ON q.vec_id <> p.vec_id AND len(q.c) = len(p.c)
+  FROM n q JOIN n p ON q.row <> p.row AND len(q.c) = len(p.c)
   WHERE q.vec_id % 100 = 0
 ), r AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score FROM s
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score FROM s
 )
 SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 10
 """,
