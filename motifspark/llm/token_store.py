@@ -1,23 +1,28 @@
 """Token ids as ORC files.
 
-Documents are dealt to files by ranges of doc_id and sorted; a file's rows stream through
-the tokenizer in that order, so tokenising happens once, after the one shuffle. Ids are an
-array<int> column: ORC run-length encodes them, indexes each 10,000 rows, and carries a
-Bloom filter on doc_id, so readers take stripes in parallel and skip by id.
+Documents are dealt to files by ranges of (doc_id, hash of the text) and sorted; a file's rows
+stream through the tokenizer in that order, so tokenising happens once, after the one shuffle.
+Ids are an array<int> column, and ``before`` counts the ids of the file's rows above: ORC
+run-length encodes both, indexes each 10,000 rows, and carries a Bloom filter on doc_id. So
+readers take stripes in parallel, a row's place needs no more than its file's, and documents
+asked for by id (``documents_of``) are found by pruning stripes and row groups.
 
 Byte-level BPE never merges across the tokenizer's pre-tokens, and a space before anything
 but white space starts one. So a text without runs of blanks is cut at its spaces, the
 distinct pieces are encoded once by the tokenizer and kept, and a document's ids are its
 pieces' ids one after another: the ids that encoding the whole text gives, at a fraction of
-the time. Other texts, and texts that hold a special token's string, are encoded whole.
+the time. Other texts, and texts that hold a special token's string, are encoded whole; so is
+every text where the tokenizer's file does not say that it is of this kind.
 
-Defined cases: a null text is the empty one (the end id alone). Null doc_ids come first.
-Rows repeating a doc_id follow each other, ordered by text. Empty tables give no rows.
-Clashing column names of the input are ignored: doc_id and text alone are read.
+Defined cases: a null text is the empty one (the end id alone). Null doc_ids come first. Rows
+repeating a doc_id follow each other, by a hash of the text, then by text; ``start`` follows
+their order in the file. Texts of any length are encoded whole. Empty tables give no rows.
+Extra columns are ignored, whatever their names: doc_id and text alone are read.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -36,7 +41,7 @@ from .common import new_path, parts, small_batches, written
 ODD = ("  ", " \n", "\n ", "\n\n", "<|", *"\t\r\f\v\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
 #: A piece that is one word and the marks after it: the tokenizer cuts it between the two. Latin letters only,
 #: as the classes of others differ between libraries.
-SIMPLE = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?#$%&*|()-]*)")
+SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?#$%&*|()-]*)")
 _kept: dict[str, "PieceStore"] = {}
 
 
@@ -50,49 +55,55 @@ def pack(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class PieceStore:
-    """The ids of pieces, as little-endian 32-bit bytes; emptied when it holds ``most``."""
+def cuts_at_spaces(settings: dict) -> bool:
+    """Whether a tokenizer's file says: byte-level BPE, its usual cut into words, no normaliser, special tokens that begin "<|"."""
+    model, cut = settings.get("model") or {}, settings.get("pre_tokenizer") or {}
+    plain = not any((settings.get("normalizer"), model.get("dropout"), model.get("continuing_subword_prefix"), model.get("end_of_word_suffix"), model.get("ignore_merges")))
+    return (plain and model.get("type") == "BPE" and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+            and all(t["content"].startswith("<|") for t in settings.get("added_tokens") or ()))
 
-    def __init__(self, path: str, most: int = 1_300_000):
+
+class PieceStore(dict):
+    """The ids of pieces after a space, as little-endian 32-bit bytes; emptied when it holds ``most``."""
+
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok, self.most = Tokenizer.from_file(path), most
-        self.ids: dict[str, bytes] = {}
+        self.cuts = cuts_at_spaces(json.loads(self.tok.to_str()))
         # Byte-level vocabularies write each byte as a printable character: bytes that are
         # printable as themselves, the others as characters from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in plain]
         self.shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+        self.space = self.shown[32]
         self.marks: dict[str, bytes] = {}
+        self.firsts: dict[str, bytes] = {}
 
-    def word(self, text: str) -> bytes:
+    def word(self, text: str, space: str = "") -> bytes:
         """The ids of one pre-token, straight from the model."""
-        if text.isascii():
-            shown = text.replace(" ", self.shown[32])
-        else:
-            shown = "".join(map(self.shown.__getitem__, text.encode()))
-        return pack([t.id for t in self.tok.model.tokenize(shown)])
-
-    def pieces(self, texts: list[str]) -> list[bytes]:
-        """The ids of pieces: words through the model, all else through the tokenizer."""
-        out, rest = [b""] * len(texts), []
-        match, marks = SIMPLE.fullmatch, self.marks
-        for i, t in enumerate(texts):
-            m = match(t)
-            if m is None:
-                rest.append(i)
-                continue
-            word, tail = m.groups()
-            if not tail:
-                out[i] = self.word(word)
-                continue
-            if tail not in marks:
-                marks[tail] = self.word(tail)
-            # The word alone is mostly known: texts hold it without marks too.
-            out[i] = (self.ids.get(word) or self.word(word)) + marks[tail]
-        for i, b in zip(rest, self.whole([texts[i] for i in rest]) if rest else ()):
-            out[i] = b
+        if not text.isascii():
+            text = "".join(map(self.shown.__getitem__, text.encode()))
+        return pack([t.id for t in self.tok.model.tokenize(space + text)])
+
+    def piece(self, text: str, space: str) -> bytes:
+        """The ids of a piece, after a space or not: words through the model, all else through the tokenizer."""
+        m = SIMPLE.fullmatch(text)
+        if m is None:
+            return self.whole([" " * bool(space) + text])[0]
+        word, tail = m.groups()
+        if not tail:
+            return self.word(word, space)
+        marks = self.marks.get(tail)
+        if marks is None:
+            marks = self.marks[tail] = self.word(tail)
+        # The word alone is mostly known: texts hold it without marks too.
+        known = self.get(word) if space else None
+        return (known or self.word(word, space)) + marks
+
+    def __missing__(self, text: str) -> bytes:
+        out = self[text] = self.piece(text, self.space)
         return out
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -101,27 +112,20 @@ class PieceStore:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         out: list[bytes] = [b""] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
         odd: list[int] = []
-        ids, new = self.ids, set()
-        if len(ids) > self.most:
-            ids.clear()
+        get, firsts = self.__getitem__, self.firsts
         for i, t in enumerate(texts):
-            if any(map(t.__contains__, ODD)) or t.endswith(" "):
+            if not self.cuts or any(map(t.__contains__, ODD)) or t.endswith(" "):
                 odd.append(i)
             elif t:
-                first, *rest = t.split(" ")
-                own = [first, *map(" ".__add__, rest)] if first else [*map(" ".__add__, rest)]
-                cut.append((i, own))
-                new.update(own)
-        fresh = [w for w in new if w not in ids]
-        if fresh:
-            for k in range(0, len(fresh), 20_000):
-                part = fresh[k : k + 20_000]
-                ids.update(zip(part, self.pieces(part)))
-        get = ids.__getitem__
-        for i, own in cut:
-            out[i] = b"".join(map(get, own))
+                if len(self) + len(firsts) > self.most:
+                    self.clear()
+                    firsts.clear()
+                first, _, rest = t.partition(" ")
+                if first and first not in firsts:
+                    firsts[first] = self.piece(first, "")
+                head = firsts[first] if first else b""
+                out[i] = head + b"".join(map(get, rest.split(" "))) if rest else head
         if odd:
             for i, b in zip(odd, self.whole([texts[i] for i in odd])):
                 out[i] = b
@@ -129,36 +133,52 @@ class PieceStore:
 
 
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
+    """A file's rows: doc_id, ids, and how many ids the rows before have."""
     store = _kept.get(path)
     if store is None:
         store = _kept[path] = PieceStore(path)
     stop = np.array([end], "<u4").tobytes()
+    total = 0
     for batch in batches:
         texts = [t or "" for t in batch.column(1).to_pylist()]
         for a in range(0, len(texts), 64):  # ids of 64 texts at a time: bounded memory
             each = store.encode(texts[a : a + 64])
-            lens = np.fromiter((len(b) // 4 + 1 for b in each), np.int64, len(each))
+            ends = np.cumsum(np.fromiter((len(b) // 4 + 1 for b in each), np.int64, len(each)))
             flat = np.frombuffer(b"".join(x for b in each for x in (b, stop)), "<i4")
-            offsets = pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32))
-            ids = pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(each)), ids], names=["doc_id", "ids"])
+            starts = np.concatenate([[0], ends])
+            ids = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(each)), ids, pa.array(total + starts[:-1])], names=["doc_id", "ids", "before"])
+            total += int(ends[-1])
+
 
+SCHEMA = "doc_id long, ids array<int>, before long"
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2, files: int | None = None) -> None:
-    """Write the ids of every document as ORC under ``path``, ascending by doc_id over the files' names."""
+
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2, file_rows: int = 200_000) -> None:
+    """Write the ids of every document as ORC under ``path``, ascending by doc_id over the files' names.
+
+    A file has about ``file_rows`` documents at most, however many there are.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = own.repartitionByRange(files or parts(spark), F.col("doc_id").asc_nulls_first())
-    ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ids = ordered.mapInArrow(lambda it: encode_batches(it, tokenizer, end), "doc_id long, ids array<int>")
+    text = F.col("text").cast("string")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    files = max(parts(spark), -(-own.count() // file_rows))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    dealt = own.repartitionByRange(files, *order).sortWithinPartitions(*order, "text")
+    ids = dealt.mapInArrow(lambda it: encode_batches(it, tokenizer, end), SCHEMA)
     (ids.write.format("orc").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
      .option("orc.row.index.stride", "10000").option("orc.stripe.size", str(64 << 20)).option("compression", "lz4").save(path))
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, ids, and the file each row is in."""
-    return spark.read.schema("doc_id long, ids array<int>").orc(path).withColumn("file", F.col("_metadata.file_name"))
+    """doc_id, ids, before, and the file each row is in."""
+    return spark.read.schema(SCHEMA).orc(path).withColumn("file", F.col("_metadata.file_name"))
+
+
+def documents_of(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
+    """The stored rows of some documents: the ids go down to the ORC reader, whose row indexes and Bloom filters skip the rest."""
+    return spark.read.schema(SCHEMA).orc(path).filter(F.col("doc_id").isin(ids)).select("doc_id", "ids")
 
 
 def checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,21 +187,20 @@ def checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
         offs = ids.offsets.to_numpy()
         n = np.diff(offs)
-        crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(offs, offs[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("file"), pa.array(n.astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "file", "n_tokens", "ids_crc32"])
+        crc = [zlib.crc32(flat[a:b]) for a, b in zip(offs, offs[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("file"), batch.column("before"), pa.array(n.astype(np.int64)), pa.array(crc, pa.int64())],
+                                         names=["doc_id", "file", "before", "n_tokens", "ids_crc32"])
 
 
 def token_digest(stored: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each stored document."""
     small_batches(stored.sparkSession)
-    rows = stored.mapInArrow(checksums, "doc_id long, file string, n_tokens long, ids_crc32 long")
+    rows = stored.mapInArrow(checksums, "doc_id long, file string, before long, n_tokens long, ids_crc32 long")
     rows = written(rows, "token-digest")
     total = rows.groupBy("file").agg(F.sum("n_tokens").alias("t"))  # one row a file
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     offset = total.select("file", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(offset, "file")
-    return rows.select("doc_id", (F.col("offset") + F.col("inside")).cast("long").alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(offset, "file").select("doc_id", (F.col("offset") + F.col("before")).cast("long").alias("start"), "n_tokens", "ids_crc32")
 
 
 def tokenised(docs: DataFrame, tokenizer: str | None = None, end: int = 2) -> DataFrame:
