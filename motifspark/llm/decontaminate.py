@@ -14,13 +14,18 @@ its whole length: its positions fall into residue classes, one for each word tha
 two more, and a mask keeps two of the classes. ``GAP`` empty words around each document let an
 item run over its edge.
 
-The benchmark is sent to the tasks in slices of at most ``SLICE`` words, each checked before
-it is sent; a larger benchmark is more slices and as many passes, never a larger broadcast.
+The benchmark is sent to the tasks in slices of at most ``SLICE`` words, made by running sums
+of the items' words and counted again before they are sent: a larger benchmark is more slices
+and as many passes, never a larger broadcast. An item of more words is cut into pieces that
+overlap by ``LAP`` words, and found piece by piece. With more than one slice, each pass is
+written before the next slice is made, so that the driver holds one at a time.
 
 Defined cases: words are runs of letters and digits, lower-cased. Items of fewer than
 ``SHORT`` words match documents of the same words and no others; items without words match
-nothing. Null or empty texts match nothing; empty tables give no rows. Items that repeat are
-found each. Rows repeating a doc_id are answered each; a null doc_id is carried along.
+nothing. Null or empty texts match nothing; empty tables give no rows. Texts of any length
+are searched whole. Items that repeat are found each; of overlaps with as many equal words the
+first found stands. Rows repeating a doc_id are answered each; a null doc_id is carried along. Extra columns are carried
+as they are where asked for, and by ``clean``, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,17 +35,16 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import M, fresh, mix, small_batches, text_chunks
+from .common import M, kept_texts, mix, over_texts, text_chunks, written
 
 WORD = re.compile(r"[^\W_]+")
 SPAN, SHORT, LEAST, SHARE = 10, 5, 13, 0.8
 WHOLE, GAP = 16, 3  # 80 % of WHOLE words are LEAST at most; GAP of them may differ
-SLICE, HITS = 1_000_000, 200_000
+SLICE, LAP, HITS = 1_000_000, 10_000, 200_000
 FACTORS = mix(np.arange(1, WHOLE + 1, dtype=np.uint64) * M) | np.uint64(1)
 
 
@@ -85,12 +89,13 @@ def seed_hashes(h: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
 class SeedIndex:
     """A slice of the benchmark: for each length of short items, and 0 for the long ones, sorted window hashes, and the items' words."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, list[str]]]):
+        """``items``: ids and words; entries of one id that are pieces of an item are found apart."""
         self.ids, self.words = [], []
         self.exact: dict[bytes, list[int]] = {}
         by: dict[int, list[tuple[np.ndarray, int]]] = {}
-        for item, text in items:
-            h = word_hashes(words_of(text))
+        for item, own in items:
+            h = word_hashes(own)
             if not len(h):
                 continue
             me = len(self.ids)
@@ -181,41 +186,85 @@ def overlaps_of(index: SeedIndex, texts: list[str]) -> list[tuple[int, int, int,
     return [(d, index.ids[i], *v) for (d, i), v in best.items()]
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, *keep: str, words_each: int = SLICE) -> DataFrame:
-    """doc_id, the columns ``keep``, item_id, start, words, equal: verified overlaps of documents and items."""
-    spark = docs.sparkSession
-    small_batches(spark)
+def slices(benchmark: DataFrame, words_each: int = SLICE) -> Iterator[SeedIndex]:
+    """The benchmark's indexes, one at a time, of at most ``words_each`` words each (an item is cut where it has more)."""
+    n = F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+")).cast("long")  # at least as many as words_of finds, but for odd marks
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    size = F.length("text")  # a word takes a character at least
-    total = bench.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    slices = max(1, -(-total // (4 * words_each)))
-    types = dict(docs.dtypes)
-    schema = ", ".join(["doc_id long", *(f"`{c}` {types[c]}" for c in keep), "item_id long, start long, words long, equal long"])
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.col("text").cast("string").alias("text"))
-    out = None
-    for s in range(slices):
-        rows = bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == s) if slices > 1 else bench
-        items = [(r.item_id, r.text) for r in rows.toLocalIterator()]
-        sent = spark.sparkContext.broadcast(SeedIndex(items))
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-                for a, b in text_chunks(texts, 1_000_000):
-                    found = overlaps_of(sent.value, texts[a:b])
-                    if found:
-                        at = [a + x[0] for x in found]
-                        got = pdf.iloc[at].drop(columns="text").reset_index(drop=True)
-                        yield got.assign(**{n: [x[k] for x in found] for k, n in ((1, "item_id"), (2, "start"), (3, "words"), (4, "equal"))})
-
-        part = own.mapInPandas(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a verified overlap, in all their columns."""
-    (key,) = fresh(docs, "_key")
-    own = docs.withColumn(key, F.xxhash64("doc_id", "text"))
-    bad = overlaps(own, benchmark, key).select(key).distinct()
-    return own.join(bad, key, "left_anti").select(*docs.columns)
+    small = bench.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] <= words_each  # a word takes a character at least
+    if not small:
+        # Items in the order of a hash, by running sums of their words, in tasks of the hash's high bits.
+        part = bench.withColumn("_n", n).withColumn("_h", F.xxhash64("item_id", "text")).withColumn("_p", F.shiftrightunsigned("_h", 54))
+        inside = Window.partitionBy("_p").orderBy("_h", "item_id")
+        part = written(part.withColumn("_s", F.sum("_n").over(inside)), "bench-order")
+        total = part.groupBy("_p").agg(F.sum("_n").alias("t"))  # 1,024 rows at most
+        before = F.coalesce(F.sum("t").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        bench = part.join(total.select("_p", before.alias("_b")), "_p").withColumn("_slice", F.expr(f"(_b + _s) div {max(1, words_each // 2)}"))
+        bench = written(bench.select("item_id", "text", "_slice"), "bench-slices")
+    numbers = [0] if small else range(bench.agg(F.coalesce(F.max("_slice"), F.lit(0))).first()[0] + 1)
+    for s in numbers:
+        held, size = [], 0
+        for r in (bench if small else bench.filter(F.col("_slice") == s)).toLocalIterator():
+            words = words_of(r["text"])
+            step = max(1, words_each - LAP) if len(words) > words_each else max(1, len(words))
+            for k in range(0, max(1, len(words) - (LAP if len(words) > words_each else 0)), step):
+                own = words[k : k + words_each]
+                if held and size + len(own) > words_each:
+                    yield SeedIndex(held)
+                    held, size = [], 0
+                held.append((r["item_id"], own))
+                size += len(own)
+        if held:
+            yield SeedIndex(held)
+
+
+def _found(sent, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
+    for a, b in text_chunks(texts, 1_000_000):
+        yield from ((a + d, *x) for d, *x in overlaps_of(sent.value, texts[a:b]))
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, *keep: str, words_each: int = SLICE) -> DataFrame:
+    """doc_id, the columns ``keep``, item_id, start, words, equal: verified overlaps of documents and items.
+
+    A repeated item is found as often as it is there, an item cut into pieces once for each piece found.
+    """
+    sc = docs.sparkSession.sparkContext
+    names = ("item_id", "start", "words", "equal")
+
+    def one(index: SeedIndex) -> DataFrame:
+        sent = sc.broadcast(index)
+
+        def run(texts: list[str]) -> tuple[list[int], dict]:
+            found = list(_found(sent, texts))
+            return [x[0] for x in found], {n: [x[k] for x in found] for k, n in enumerate(names, 1)}
+
+        return over_texts(docs, run, ", ".join(f"{n} long" for n in names), *keep)
+
+    out, last = None, None
+    for index in slices(benchmark, words_each):
+        if last is not None:  # another slice follows: this one is answered before its index is made known to the tasks
+            part = written(one(last), "overlaps")
+            out = part if out is None else out.unionByName(part)
+        last = index
+    part = one(last if last is not None else SeedIndex([]))
+    return part if out is None else out.unionByName(part)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, words_each: int = SLICE) -> DataFrame:
+    """The documents without a verified overlap, in all their columns: each pass drops its own, and nothing is shuffled."""
+    out = docs
+    last = None
+    for index in slices(benchmark, words_each):
+        if last is not None:
+            out = written(_without(out, last), "clean")
+        last = index
+    return _without(out, last) if last is not None else out
+
+
+def _without(docs: DataFrame, index: SeedIndex) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(index)
+
+    def good(texts: list[str]) -> list[bool]:
+        bad = {x[0] for x in _found(sent, texts)}
+        return [i not in bad for i in range(len(texts))]
+
+    return kept_texts(docs, good)
