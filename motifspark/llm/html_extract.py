@@ -14,10 +14,12 @@ Defined cases: a null or empty html gives the empty text, as does a page without
 block. Broken markup is read as far as it goes: an unclosed tag lasts until its parent ends,
 a cut-off tag is dropped. Only scripts, styles, text areas and comments run to the end of the
 page; an unclosed head ends at the first text or tag of a body, an unclosed option, select,
-button, title, iframe, svg or math at the next block-level tag too. Pages of any length are read whole; over a page of more than
-``RUN`` blocks the two LSTMs go in runs of that many, each starting from the state in which the
-run before it ended. Rows repeating a page_id are answered each. Columns other than
-page_id, url and html are ignored.
+button, title, iframe, svg or math at the next block-level tag too. Pages of any length and depth
+are read whole; over a page of more than ``RUN`` blocks the two LSTMs go in runs of that many,
+each starting from the state in which the run before it ended. A block whose two labels tie is
+no article. Rows repeating a page_id are answered each; a null page_id is carried along. An
+empty table gives no rows. Columns other than page_id, url and html are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -25,16 +27,14 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
 from functools import lru_cache
-from itertools import takewhile
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import over_texts
 from .page_grammar import PageGrammar
 
 PATHS, WORDS, PDIM, WDIM, MEASURES, HIDDEN, RUN = 1024, 512, 16, 6, 6, 20, 2000
@@ -65,10 +65,29 @@ def _hash(kind: str, text: str, size: int) -> int:
     return zlib.crc32(f"{kind}:{text}".encode("utf-8", "surrogatepass")) % size
 
 
+class Path:
+    """The open elements above a block: what the innermost adds to the path of the one around it."""
+
+    __slots__ = ("above", "parts")
+
+    def __init__(self, above: "Path | None", parts: tuple[int, ...]):
+        self.above, self.parts = above, parts
+
+    def all(self) -> list[int]:
+        out, at = [], self
+        while at is not None:
+            out += at.parts
+            at = at.above
+        return out
+
+
+ROOT = Path(None, ())
+
+
 class Block:
     __slots__ = ("path", "text", "linked", "role")
 
-    def __init__(self, path: tuple[int, ...], text: str, linked: int, role: str = ""):
+    def __init__(self, path: Path, text: str, linked: int, role: str = ""):
         self.path, self.text, self.linked, self.role = path, text, linked, role
 
 
@@ -101,7 +120,8 @@ def closed(page: str) -> dict[int, int]:
 def blocks_of(page: str | None, marks: bool = False) -> list[Block]:
     """The blocks of a page in order. ``marks``: control characters name the parts' roles (training)."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[int, ...]]] = []
+    stack: list[tuple[str, Path]] = []
+    named: Counter[str] = Counter()  # the open elements by name
     buffer: list[str] = []
     linked, in_link, hidden, role = 0, 0, 0, ""
 
@@ -111,9 +131,7 @@ def blocks_of(page: str | None, marks: bool = False) -> list[Block]:
             raw = "".join(buffer)
             text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
             if text:
-                seen = takewhile(lambda x: x[0] not in UNSHOWN, stack)
-                path = tuple(p for tag, own in seen if tag not in INLINE for p in own)
-                out.append(Block(path, text, linked, role))
+                out.append(Block(stack[-1][1] if stack else ROOT, text, linked, role))
             buffer.clear()
         linked = 0
 
@@ -130,13 +148,24 @@ def blocks_of(page: str | None, marks: bool = False) -> list[Block]:
         buffer.append(raw)
         linked += len(raw) * (in_link > 0)
 
-    def cut(a: int, b: int | None = None) -> None:
-        """Ends the open elements a to b."""
+    def cut(a: int) -> None:
+        """Ends the open elements from a on."""
         nonlocal in_link, hidden
-        for t, _ in stack[a:b]:
+        for t, _ in stack[a:]:
+            named[t] -= 1
             in_link -= t == "a"
             hidden -= t in UNSHOWN
-        del stack[a:b]
+        del stack[a:]
+
+    def last(tags: set[str], stops: set[str]) -> int | None:
+        """Where the innermost of ``tags`` is open, not looking past ``stops``."""
+        if any(named[t] for t in tags):
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] in tags:
+                    return k
+                if stack[k][0] in stops:
+                    return None
+        return None
 
     page = page or ""
     ends = closed(page)
@@ -156,7 +185,7 @@ def blocks_of(page: str | None, marks: bool = False) -> list[Block]:
             continue
         tag, attributes = tag.lower(), m[4] if m[3] else m[7]
         if m[2] or m[5]:
-            k = _last(stack, {tag}, set())
+            k = last({tag}, set())
             if k is not None:
                 shown = hidden == 0 or any(t in UNSHOWN for t, _ in stack[k:])
                 if shown and tag not in INLINE and tag not in UNBROKEN:
@@ -166,27 +195,28 @@ def blocks_of(page: str | None, marks: bool = False) -> list[Block]:
                 flush()
             continue
         if hidden:
-            if tag not in OF_HEAD and (k := _last(stack, {"head"}, set())) is not None:
+            if tag not in OF_HEAD and (k := last({"head"}, set())) is not None:
                 cut(k)
             if tag in BLOCKS:
-                while hidden and (k := _last(stack, UNSHOWN, set())) is not None and stack[k][0] in SHORT_LIVED:
+                while hidden and (k := last(UNSHOWN, set())) is not None and stack[k][0] in SHORT_LIVED:
                     cut(k)
         if not hidden and tag not in INLINE and tag not in UNBROKEN:
             flush()
         if tag in VOID:
             continue
-        if tag in CLOSES_P and (k := _last(stack, {"p"}, {"table", "td", "th", "button"})) is not None:
+        if tag in CLOSES_P and (k := last({"p"}, {"table", "td", "th", "button"})) is not None:
             cut(k)
-        if tag in CLOSED_BY and (k := _last(stack, CLOSED_BY[tag], STOPS[tag])) is not None:
+        if tag in CLOSED_BY and (k := last(CLOSED_BY[tag], STOPS[tag])) is not None:
             cut(k)
         if tag in UNSHOWN and m.start() in ends:
             at = ends[m.start()]
         elif not attributes.endswith("/"):
-            stack.append((tag, _part(tag, attributes)))
+            above = stack[-1][1] if stack else ROOT
+            plain = hidden or tag in INLINE or tag in UNSHOWN
+            stack.append((tag, above if plain else Path(above, _part(tag, attributes))))
+            named[tag] += 1
             in_link += tag == "a"
             hidden += tag in UNSHOWN
-        if len(stack) > 512:  # markup that never closes: the outermost tags go
-            cut(0, 256)
     if at < len(page):
         raw = page[at:]
         if hidden and stack[-1][0] == "head" and not raw.isspace():
@@ -197,23 +227,13 @@ def blocks_of(page: str | None, marks: bool = False) -> list[Block]:
     return out
 
 
-def _last(stack: list, tags: set[str], stops: set[str]) -> int | None:
-    """Where the innermost of ``tags`` is open, not looking past ``stops``."""
-    for k in range(len(stack) - 1, -1, -1):
-        if stack[k][0] in tags:
-            return k
-        if stack[k][0] in stops:
-            return None
-    return None
-
-
 @lru_cache(100_000)
 def _word(word: str) -> int:
     return _hash("w", word.strip(".,;:!?()"), WORDS)
 
 
-def inputs(blocks: list[Block], a: int = 0, b: int | None = None) -> tuple[list[tuple[int, ...]], list[list[int]], np.ndarray]:
-    """Path parts, hashed words (all of a block's) and measures of a page's blocks from a to b."""
+def inputs(blocks: list[Block], a: int = 0, b: int | None = None) -> tuple[list[Path], list[list[int]], np.ndarray]:
+    """Paths, hashed words (all of a block's) and measures of a page's blocks from a to b."""
     measures, words = [], []
     last = len(blocks) - 1
     some = blocks[a:b]
@@ -243,17 +263,26 @@ class Labeller:
         out = np.zeros((steps, len(pages), PDIM + WDIM + MEASURES), np.float32)
         mask = np.zeros((steps, len(pages)), np.float32)
         took = []
-        known: dict[tuple[int, ...], np.ndarray] = {}
+        known: dict[Path, np.ndarray] = {}
         path, word = self.p["path"], self.p["word"]
+
+        def vector(at: Path) -> np.ndarray:
+            """The sum of the vectors of a path's parts, from that of the path above."""
+            todo = []
+            while at is not None and at not in known:
+                todo.append(at)
+                at = at.above
+            v = known[at] if at is not None else np.zeros(PDIM, np.float32)
+            for at in reversed(todo):
+                v = known[at] = v + path[list(at.parts)].sum(axis=0) if at.parts else v
+            return v
+
         for j, (paths, words, measures) in enumerate(pages):
             n = len(paths)
             mask[:n, j] = 1
             out[:n, j, PDIM + WDIM :] = measures
             for t, a in enumerate(paths):
-                v = known.get(a)
-                if v is None:
-                    v = known[a] = path[list(a)].sum(axis=0)
-                out[t, j, :PDIM] = v
+                out[t, j, :PDIM] = vector(a)
             lens = np.array([len(b) for b in words])
             flat = word[[w for b in words for w in b]]
             out[:n, j, PDIM : PDIM + WDIM] = np.add.reduceat(flat, np.cumsum(lens) - lens, axis=0) / lens[:, None]
@@ -310,8 +339,8 @@ class Labeller:
             g |= {k + "x": gx, k + "h": gh, k + "c": gc}
         g["path"], g["word"] = np.zeros_like(self.p["path"]), np.zeros_like(self.p["word"])
         for t, j, a, b in took:
-            if a:
-                np.add.at(g["path"], list(a), dx[t, j, :PDIM])
+            if own := a.all():
+                np.add.at(g["path"], own, dx[t, j, :PDIM])
             if b:
                 np.add.at(g["word"], b, dx[t, j, PDIM : PDIM + WDIM] / len(b))
         return g
@@ -382,17 +411,13 @@ def main_texts(model: Labeller, pages: list[str | None]) -> list[str]:
 
 def extracted(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    spark = pages.sparkSession
-    small_batches(spark)
-    sent = spark.sparkContext.broadcast((model or trained()).p)  # some 40,000 numbers
+    sent = pages.sparkSession.sparkContext.broadcast((model or trained()).p)  # some 40,000 numbers
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(html: list[str]) -> dict:
         own = Labeller.__new__(Labeller)
         own.p = sent.value
-        for pdf in batches:
-            html = [t if isinstance(t, str) else "" for t in pdf["html"]]
-            texts = [t for a in range(0, len(html), 256) for t in main_texts(own, html[a : a + 256])]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+        texts = [t for a in range(0, len(html), 256) for t in main_texts(own, html[a : a + 256])]
+        return {"text": texts, "n_chars": [len(t) for t in texts]}
 
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return own.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    own = pages.select("page_id", F.col("url").cast("string").alias("url"), "html")
+    return over_texts(own, run, "text string, n_chars long", "url", key="page_id", column="html")
