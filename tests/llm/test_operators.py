@@ -1,13 +1,16 @@
 import html
+import itertools
+import math
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from motifspark.llm import components, decontaminate, exact_topk, hilbert_shards, html_extract, language_id, mixing, quality, simhash_dedup, token_store, toxicity
+from motifspark.llm import components, decontaminate, exact_topk, hilbert_shards, html_extract, language_id, mixing, quality, queries, simhash_dedup, token_store, toxicity
 from motifspark.llm.page_grammar import PageGrammar
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double"
@@ -36,41 +39,59 @@ def test_empty_tables(spark, docs):
     assert token_store.tokenised(none).count() == 0
     model = language_id.train(none)
     assert language_id.identified(docs, model).filter("lang_pred <> 'und'").count() == 0
+    assert language_id.identified(none, model).count() == quality.scored(none, None).count() == toxicity.scored(none, toxicity.ToxicModel()).count() == 0
+    assert toxicity.filtered(none, toxicity.ToxicModel()).count() == 0 and toxicity.train(none.withColumn("toxic", F.lit(1))).weights.tolist() == toxicity.PRIOR.tolist()
     assert quality.train(none.withColumn("quality", F.lit(1))) is None
     bench = spark.createDataFrame([], "item_id long, text string")
-    assert decontaminate.overlaps(docs, bench).count() == 0
+    assert decontaminate.overlaps(docs, bench).count() == 0 == decontaminate.overlaps(none, bench).count()
+    assert decontaminate.clean(docs, bench).count() == docs.count() and decontaminate.clean(none, bench).count() == 0
     assert html_extract.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert exact_topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True), 3).count() == 0
 
 
+def brute_topk(rows, asked, k=10):
+    """query_id, rank, vec_id, score by rows: every row but the query's own is a candidate."""
+    good = [(i, [math.floor(1024 * c) for c in v]) for i, v, *_ in rows if v and i is not None and all(c is not None and math.isfinite(c) for c in v)]
+    out = []
+    for r, (q, x) in enumerate(good):
+        if asked(q):
+            found = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(x, y)))), i) for s, (i, y) in enumerate(good) if s != r and len(x) == len(y))[:k]
+            out += [(q, n, i, -s) for n, (s, i) in enumerate(found, 1)]
+    return sorted(out)
+
+
 def test_topk_equals_brute_force(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 6)).round(2)
     x[50:120] = x[50]  # ties
     rows = [(i, [float(c) for c in v], 1) for i, v in enumerate(x)]
-    rows += [(400, None, 1), (401, [float("nan")] * 6, 1), (402, [1.0, None] + [0.0] * 4, 1), (403, [1.0, 2.0], 1), (404, [], 1), rows[7]]
+    rows += [(400, None, 1), (401, [float("nan")] * 6, 1), (402, [1.0, None] + [0.0] * 4, 1), (403, [1.0, 2.0], 1), (404, [], 1), (None, rows[3][1], 1)]
+    rows += [rows[7], rows[100], (100, rows[5][1], 1), (2**53 + 1, rows[9][1], 1)]  # repeated rows, an id with two vectors
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
     got = exact_topk.top_k(df, F.col("vec_id") % 100 == 0, 10, shard_rows=64, block=2).collect()
-    v = np.floor(x * 1024).astype(np.int64)
-    want = {(q, r, i, -s) for q in (0, 100, 200) for r, (s, i) in enumerate(sorted((-int(v[q] @ v[i]), i) for i in range(300) if i != q)[:10], 1)}
-    assert {tuple(r) for r in got} == want and len(got) == 30
+    assert sorted(map(tuple, got)) == brute_topk(rows, lambda i: i % 100 == 0)
 
 
-def test_topk_keeps_large_products_exact(spark):
-    df = spark.createDataFrame([(0, [3e8, 1.0]), (1, [3e8, 1.0]), (2, [3e8, 2.0])], "vec_id long, embedding array<double>")
-    got = exact_topk.top_k(df.select("vec_id", F.transform("embedding", lambda x: x / 1024).alias("embedding")), F.col("vec_id") == 0, 2).orderBy("rank").collect()
-    assert [r["vec_id"] for r in got] == [2, 1]
+@pytest.mark.parametrize("shard_rows", [8192, 16])
+def test_topk_sql_agrees_on_repeated_rows(spark, tmp_path, shard_rows):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(rng.normal(size=(40, 4)).round(2))]
+    rows += 9 * [rows[0]] + 2 * [rows[5]] + [(0, rows[8][1]), (5, rows[0][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = exact_topk.top_k(df, F.col("vec_id") % 100 == 0, 10, shard_rows=shard_rows, block=2).collect()
+    df.toPandas().to_parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    want = con.execute(queries.ORACLE_SQL["op1_exact_topk"]).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) == brute_topk(rows, lambda i: i % 100 == 0)
 
 
-def test_topk_counts_repeated_queries_once(spark):
-    x = np.random.default_rng(1).normal(size=(40, 4)).round(2)
-    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
-    df = spark.createDataFrame(rows + 9 * [rows[0]] + 2 * [rows[5]], "vec_id long, embedding array<double>")
-    v = np.floor(x * 1024).astype(np.int64)
-    want = {(q, r, i, -s) for q in (0, 5) for r, (s, i) in enumerate(sorted((-int(v[q] @ v[i]), i) for i in range(40) if i != q)[:10], 1)}
-    for shard_rows in (8192, 16):
-        got = exact_topk.top_k(df, F.col("vec_id").isin(0, 5), 10, shard_rows=shard_rows, block=2).collect()
-        assert {tuple(r) for r in got} == want and len(got) == 20
+def test_topk_of_large_vectors(spark):
+    rows = [(0, [3e8, 1.0]), (1, [3e8, 1.0]), (2, [3e8, 2.0]), (3, [9e15, 1.0]), (4, [-1e20, 5.0]), (5, [1e20, 1.0])]
+    df = spark.createDataFrame([(i, [c / 1024 for c in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    got = exact_topk.top_k(df, F.col("vec_id") < 5, 3).collect()
+    cut = [(i, [max(-(2.0**63), min(2.0**63, c)) / 1024 for c in v]) for i, v in rows]
+    assert sorted(map(tuple, got)) == brute_topk(cut, lambda i: i < 5, 3) and max(r["score"] for r in got) == 2**63 - 1
 
 
 def brute_fingerprint(text):
@@ -116,7 +137,7 @@ def test_one_document_of_each_group_stays(spark):
     assert got == sorted([(1, a), (1, b), (None, c), (4, d)], key=str)
 
 
-@pytest.mark.parametrize("node_rows", [60, 100_000])
+@pytest.mark.parametrize("node_rows", [30, 200, 100_000])
 def test_gray_index_finds_all_components(spark, node_rows):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
@@ -132,6 +153,23 @@ def test_gray_index_finds_all_components(spark, node_rows):
     assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
 
 
+@pytest.mark.parametrize("n, m", [(1, 1), (40, 3), (700, 700), (500, 90)])
+def test_trees_find_all_links(n, m):
+    rng = np.random.default_rng(n)
+    fps = rng.integers(0, 2**63, n + m, dtype=np.uint64)
+    fps[n // 2 :] = fps[rng.integers(0, max(1, n // 2), n + m - n // 2)] ^ (np.uint64(1) << rng.integers(0, 64, n + m - n // 2, dtype=np.uint64))
+    fps = np.unique(fps)
+    rng.shuffle(fps)
+    own, other = (x[np.argsort(simhash_dedup.gray_rank(x))] for x in (fps[:n], fps[n:]))
+    pairs = lambda a, b: [(int(x), int(y)) for p, q in simhash_dedup.tree_links(a, b, 3) for x, y in zip(a.fps[p], b.fps[q])]
+    one = simhash_dedup.GrayTree(own)
+    got = pairs(one, one)
+    assert sorted(map(sorted, got)) == sorted(sorted((int(a), int(b))) for a, b in itertools.combinations(own, 2) if (int(a) ^ int(b)).bit_count() <= 3)
+    if len(other):
+        got = pairs(one, simhash_dedup.GrayTree(other))
+        assert sorted(got) == sorted((int(a), int(b)) for a in own for b in other if (int(a) ^ int(b)).bit_count() <= 3)
+
+
 def test_mixing_meets_targets(docs):
     rows = mixing.drawn_words(docs).collect()
     again = mixing.drawn_words(docs.repartition(3)).collect()
@@ -158,7 +196,57 @@ def test_mixing_meets_targets(docs):
     for r in rows:
         assert 0 <= r["taken"] <= 2 * r["size"]
         taken[r["source_size"]] = taken.get(r["source_size"], 0) + r["taken"]
-    assert all(abs(taken[size[s]] - t) <= 0.02 * t + 2 for s, t in target.items())
+    assert all(abs(taken[size[s]] - t) <= 0.5 for s, t in target.items())
+
+
+def xx(values, seed=42):
+    """Spark's xxhash64 of a row: each value hashed with the hash before as its seed."""
+    for v, kind in values:
+        if v is not None:
+            data = v.encode() if kind == "s" else int(v).to_bytes(4 if kind == "i" else 8, "little", signed=True)
+            seed = xxhash.xxh64_intdigest(data, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def redrawn(source, blocks, k, epoch):
+    """The permutation, in Python."""
+    key = [(xx([(0, "i"), (source, "s")]), "l"), (epoch, "l")]
+    for r in range(1, mixing.ROUNDS + 1):
+        other = xx([(r, "i"), (blocks, "l"), *key]) % blocks - k
+        other += blocks * (other < 0)
+        if xx([(max(k, other), "l"), (r, "i"), *key]) & 1:
+            k = other
+    return k
+
+
+def test_draws_equal_a_redraw(spark, docs):
+    sizes = mixing._sizes(docs)
+    plan = mixing.sources_plan(sizes, block=64).cache()
+    counts, shards = {}, 5
+    for p in plan.collect():
+        for slot in range(p["slots"]):
+            shard = xx([(1, "i"), (p["source"], "s"), (slot, "l")]) % shards
+            counts[p["source"], shard] = counts.get((p["source"], shard), 0) + 1
+    assert {(r["source"], r["shard"]): r["n"] for r in mixing.counts(plan, shards).collect()} == counts
+    want = set()
+    for p in plan.collect():
+        slot = 0
+        for shard in range(shards):
+            for slot in range(slot, slot + counts.get((p["source"], shard), 0)):
+                epoch = slot // p["blocks"]
+                want.add((shard, p["source"], slot, redrawn(p["source"], p["blocks"], slot % p["blocks"], epoch), epoch, p["cut"] if slot == p["slots"] - 1 else 0))
+            slot += bool(counts.get((p["source"], shard)))
+    assert {tuple(r) for r in mixing.slots(plan, shards).collect()} == want
+    # The words of all draws make up the targets, and no word is drawn twice in a pass.
+    drawn = mixing.draws(sizes, plan, shards, block=64).collect()
+    got = {}
+    for r in drawn:
+        got[r["source"]] = got.get(r["source"], 0) + r["n"]
+    assert got == {p["source"]: round(p["target"]) for p in plan.collect() if p["target"]}
+    seen = [(r["source"], r["doc_id"], r["row"], r["epoch"], r["first"] + i) for r in drawn for i in range(r["n"])]
+    repeats = docs.count() - docs.distinct().count()
+    assert repeats == 1 and len(seen) - len(set(seen)) <= 2 * len((docs.first()["text"] or "").split())
+    plan.unpersist()
 
 
 def test_mixed_documents_hold_the_words_taken(docs):
@@ -175,6 +263,8 @@ def test_permutation_is_one(spark):
     for n in (1, 2, 37, 256):
         df = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(9)).alias("x"))
         assert sorted(r["x"] for r in df.collect()) == list(range(n))
+        back = spark.range(n).select(mixing.permuted(mixing.place_of(F.col("id"), F.lit(n).cast("long"), F.lit(9)), F.lit(n).cast("long"), F.lit(9)).alias("x"))
+        assert [r["x"] for r in back.collect()] == list(range(n))
 
 
 def test_hilbert_curve_visits_neighbours(spark):
@@ -194,6 +284,8 @@ def test_shards_follow_the_law(docs):
     assert all(sorted(r["slot"] for r in x) == list(range(len(x))) for x in by.values())
     order = [r["cell"] for s in sorted(by) for r in sorted(by[s], key=lambda r: r["slot"])]
     assert order == sorted(order)
+    crcs = [r["text_crc32"] for s in sorted(by) for r in sorted(by[s], key=lambda r: r["slot"])]
+    assert len([k for k, _ in itertools.groupby(crcs)]) == len(set(crcs))  # equal texts lie together
     text = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
     assert all(r["size"] == len(text[r["doc_id"]]) + 8 and r["text_crc32"] == zlib.crc32(text[r["doc_id"]]) for r in rows)
 
@@ -213,6 +305,36 @@ def test_tokens_round_trip(spark, docs):
     assert sorted(tuple(r) for r in token_store.tokenised(docs.union(more)).collect()) == want
 
 
+def test_tokens_follow_the_file(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(token_store.vocabulary())
+    rows = [(7, "a"), (7, "b b"), (7, "c c c"), (7, "d d d d"), (7, "a"), (None, "x y"), (None, None), (2**53 + 1, "z"), (-3, "w w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = token_store.new_path(spark, "tokens")
+    token_store.write_tokens(docs, path, token_store.vocabulary(), file_rows=3)
+    ids = {t: tok.encode(t or "", add_special_tokens=False).ids + [2] for _, t in rows}
+    got = sorted(token_store.token_digest(token_store.read_tokens(spark, path)).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None, None, -3, 7, 7, 7, 7, 7, 2**53 + 1]
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1]]
+    assert sorted((r["doc_id"] or 0, r["n_tokens"], r["ids_crc32"]) for r in got) == sorted((i or 0, len(ids[t]), zlib.crc32(np.array(ids[t], "<u4").tobytes())) for i, t in rows)
+    some = token_store.documents_of(spark, path, [7, 2**53 + 1, 5])
+    assert sorted(map(str, some.collect())) == sorted(map(str, [(spark.createDataFrame([(i, ids[t])], "doc_id long, ids array<int>").first()) for i, t in rows if i in (7, 2**53 + 1)]))
+    assert "PushedFilters: [In(doc_id" in some._jdf.queryExecution().toString()
+
+
+def test_other_tokenizers_encode_whole_texts():
+    store = token_store.PieceStore(token_store.vocabulary())
+    settings = token_store.json.loads(store.tok.to_str())
+    assert store.cuts and token_store.cuts_at_spaces(settings)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": {"type": "Unigram"}}, {"added_tokens": [{"content": "[PAD]"}]}):
+        assert not token_store.cuts_at_spaces(settings | change)
+    texts = ["one two  three", "", " a b", "x" * 50]
+    want = store.whole(texts)
+    store.cuts = False
+    assert store.encode(texts) == want
+
+
 def test_overlaps_tolerate_substitutions(spark):
     rng = random.Random(5)
     items = [prose(rng, n).split() for n in (40, 25, 12, 8, 3)]
@@ -220,9 +342,10 @@ def test_overlaps_tolerate_substitutions(spark):
     swapped = [w if i % 9 else "zz" for i, w in enumerate(items[0])]
     texts = [" ".join(prose(rng, 20).split() + items[1] + prose(rng, 9).split()), "A " + " ".join(swapped).upper(), " ".join(items[3]), " ".join(items[4] * 9), prose(rng, 300), None, "", " ".join(items[0][:9])]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("item_id", F.lit(5))
-    for each in (1_000_000, 40):
+    for each in (1_000_000, 45):
         got = {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(df.drop("item_id"), bench, words_each=each).collect()}
         assert got == {(0, 1), (1, 0), (2, 3)}
+        assert sorted(r["doc_id"] for r in decontaminate.clean(df, bench, each).collect()) == [3, 4, 5, 6, 7]
     assert sorted(r["doc_id"] for r in decontaminate.clean(df, bench).collect()) == [3, 4, 5, 6, 7]
 
 
@@ -256,7 +379,7 @@ def test_changed_words_are_found_at_any_place():
                 texts.append(prose(rng, rng.choice([0, 4])).split() + own + prose(rng, rng.choice([0, 4])).split())
         texts += [ref[k:] for k in range(1, 4)] + [ref[:-k] for k in range(1, 4)]
         texts.append([w if k not in (5, 10) else "zz" for k, w in enumerate(ref)])
-    index = decontaminate.SeedIndex([(i, " ".join(w)) for i, w in enumerate(items)])
+    index = decontaminate.SeedIndex(list(enumerate(items)))
     got = decontaminate.overlaps_of(index, [" ".join(t) for t in texts])
     assert {x[:2] for x in got} == brute_overlaps(items, texts) and len({x[:2] for x in got}) == len(got)
     assert all(0 <= s and s + n <= len(texts[d]) and (e >= 0.8 * n) for d, _, s, n, e in got)
@@ -264,6 +387,19 @@ def test_changed_words_are_found_at_any_place():
     assert len(items[5]) == 8 and {x[:2] for x in decontaminate.overlaps_of(index, eight)} == {(k, 5) for k in range(8)}
 
 
+def test_slices_are_bounded_and_hold_every_item(spark, monkeypatch):
+    rng = random.Random(7)
+    items = [(i % 30, prose(rng, rng.choice([0, 3, 20, 60]))) for i in range(60)] + [(77, prose(rng, 900)), (78, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "LAP", 20)
+    for each in (100, 10_000_000):
+        parts = list(decontaminate.slices(bench, each))
+        assert all(sum(len(w) for w in p.words) <= each for p in parts) and (len(parts) == 1) == (each > 100)
+        assert sorted(i for p in parts for i in p.ids if i != 77) == sorted(i for i, t in items if t and i != 77)
+        long = sorted((w for p in parts for i, w in zip(p.ids, p.words) if i == 77), key=len)
+        assert sum(map(len, long)) - 20 * (len(long) - 1) == 900
+
+
 def test_forward_sums_all_segmentations():
     pieces = ["▁a", "▁", "a", "b", "ab", "ba"]
     model = language_id.LanguageModel(["x"], pieces, np.array([[0.3], [0.1], [0.2], [0.1], [0.2], [0.1], [0]]))
@@ -272,8 +408,27 @@ def test_forward_sums_all_segmentations():
     def total(w):
         return 1.0 if not w else sum(p[w[:k]] * total(w[k:]) for k in range(1, len(w) + 1) if w[:k] in p)
 
-    for w in ("a", "ab", "aba", "abbaab"):
-        assert np.exp(model.word_values([w])[0, 0]) == pytest.approx(total("▁" + w))
+    words = ["a", "ab", "aba", "abbaab", "ab" * 20, "a" * 15 + "b" * 7, "b"]
+    from functools import lru_cache
+
+    total = lru_cache(None)(total)
+    want = [math.log(total("▁" + w)) for w in words]
+    assert model.word_values(words)[:, 0] == pytest.approx(want)
+    long = model.word_values(["ab" * 10_000, "ab" * 10_001])[:, 0]  # over blocks, where a plain product would underflow
+    step = np.diff(model.word_values(["ab" * n for n in (200, 201)])[:, 0])
+    assert np.isfinite(long).all() and np.diff(long) == pytest.approx(step)
+
+
+def test_words_of_all_lengths_teach():
+    model = language_id.LanguageModel(["x"], ["▁", "a", "b", "aaaa"]).fit([language_id.Counter({"a" * 40: 5, "b": 1})])
+    p = dict(zip(("▁", "a", "b", "aaaa"), model.probs[:, 0]))
+    assert p["aaaa"] > p["b"] and sum(p.values()) == pytest.approx(1)
+
+
+def test_letters_are_letters():
+    texts = ["½ 12 ²", "Ⅳ①", "a²b c_d 1e", "été ½x", "", None, "日本"]
+    assert [bool(language_id.letters_of(t)) for t in texts] == [any(c.isalpha() for c in t or "") for t in texts]
+    assert language_id.letters_of("a²b c_d 1e") == ["a", "b", "c", "d", "e"]
 
 
 def test_language_id_on_small_sample(spark):
@@ -282,7 +437,7 @@ def test_language_id_on_small_sample(spark):
     rows = [(i, " ".join(rng.choice(a if i % 2 else b) for _ in range(20)), "en" if i % 2 else "de") for i in range(80)]
     train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language_id.train(train)
-    test = spark.createDataFrame([(1, "the of that", "x"), (2, "und nicht " + "q" * 5000, "x"), (3, None, "x"), (4, "12 !", "x"), (5, "", "x")], "doc_id long, text string, score string")
+    test = spark.createDataFrame([(1, "the of that", "x"), (2, "und nicht " + "q" * 5000, "x"), (3, None, "x"), (4, "12 ½ ² Ⅳ!", "x"), (5, "", "x")], "doc_id long, text string, score string")
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identified(test, model).collect()}
     assert [got[i][0] for i in range(1, 6)] == ["en", "de", "und", "und", "und"] and all(0 <= s <= 1 for _, s in got.values())
 
@@ -318,6 +473,62 @@ def test_toxic_grammar_kinds():
     assert kinds("you. an idiot") == {"plain"} and kinds("") == set()
 
 
+def test_target_negation_and_report_turn_predictions():
+    model = toxicity.ToxicModel()
+
+    def toxic(text):
+        toks = toxicity.tokens_of(text)
+        v = model.lexicon.values(toks) if toks else np.zeros((0, 2))
+        return model.score(model.matches(v[:, 0], v[:, 1]))[0] >= 0.5
+
+    for _ in range(2):
+        assert toxic("you are an idiot") and not toxic("you are not an idiot") and not toxic("the paper said you are an idiot")
+        assert toxic("i will kill you") and not toxic("kill the process") and not toxic("i will not kill you")
+        assert toxic("An idiot. A moron.") and not toxic("you. he. not.")
+        model.weights = toxicity.ToxicModel().fit(["you are an idiot", "idiot. moron.", "fine words", "good day"] * 20, np.array([1, 1, 0, 0] * 20)).weights
+    assert not toxicity.ToxicModel().score(np.array([1.0, 0, 0, 0, 0]))[0] >= 0.5 <= toxicity.ToxicModel().score(np.array([0, 1.0, 0, 0, 0]))[0]
+
+
+def test_ids_pass_unharmed(spark):
+    """A null id beside one that a float cannot hold, repeated rows, and clashing names, through every operator that runs Python."""
+    big = 2**53 + 1
+    rng = random.Random(9)
+    passage = prose(rng, 30)
+    rows = [(None, passage), (big, passage), (big, passage), (big + 1, None), (-big, ""), (None, None), (5, "½")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("own")).withColumn("_text", F.lit(1)).withColumn("score", F.lit(2))
+    ids = sorted(str(i) for i, _ in rows)
+    of = lambda df, c="doc_id": sorted(str(r[c]) for r in df.collect())
+    model = language_id.LanguageModel(["x"], ["▁", "a"])
+    assert of(language_id.identified(docs, model)) == of(quality.scored(docs, quality.QualityModel())) == of(toxicity.scored(docs, toxicity.ToxicModel())) == ids
+    near = simhash_dedup.near_duplicates(docs)
+    assert of(near) == ids and {r["component_id"] for r in near.collect() if r["doc_id"] == big} == {big}
+    assert of(simhash_dedup.deduplicated(docs)) == sorted(map(str, (big, -big, 5)))
+    bench = spark.createDataFrame([(big, passage), (None, passage), (big, passage)], "item_id long, text string")
+    found = decontaminate.overlaps(docs, bench, "fp")
+    assert of(found) == sorted(str(i) for i in (None, big, big) for _ in range(3)) and of(found, "item_id") == sorted(str(i) for i in (None, big, big) for _ in range(3))
+    assert of(decontaminate.clean(docs, bench)) == sorted(str(i) for i, t in rows if t != passage) and of(toxicity.filtered(docs, toxicity.ToxicModel())) == ids
+    assert toxicity.scored(docs, toxicity.ToxicModel(), "fp", "_text").filter("fp = 'own' and _text = 1").count() == len(rows)
+    pages = spark.createDataFrame([(i, "u", f"<p>{t}") for i, t in rows], "page_id long, url string, html string").withColumn("text", F.lit(1))
+    assert of(html_extract.extracted(pages), "page_id") == ids
+    store = token_store.tokenised(docs)
+    assert of(store) == ids == of(hilbert_shards.sharded(docs.withColumn("lang", F.lit("x")).withColumn("source", F.lit("y")))) == of(mixing.drawn_words(docs.withColumn("source", F.lit("y"))))
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(10)
+    text = prose(rng, 150_000)
+    passage = prose(rng, 30)
+    docs = spark.createDataFrame([(1, text + " " + passage + ". you are an idiot."), (2, "x" * 300_000)], "doc_id long, text string")
+    bench = spark.createDataFrame([(3, passage)], "item_id long, text string")
+    assert [r["doc_id"] for r in decontaminate.overlaps(docs, bench).collect()] == [1]
+    assert {r["doc_id"]: r["score"] >= 0.5 for r in toxicity.scored(docs, toxicity.ToxicModel()).collect()} == {1: True, 2: False}
+    got = {r["doc_id"]: r["fingerprint"] for r in simhash_dedup.near_duplicates(docs).collect()}
+    assert got == {r["doc_id"]: f"{brute_fingerprint(r['text']):016x}" for r in docs.collect()}
+    assert quality.scored(docs, quality.QualityModel()).count() == 2 == language_id.identified(docs, language_id.LanguageModel(["x"], ["▁", "x"])).filter("lang_pred = 'x'").count()
+    page = "<p>" + "</p><p>".join(text.split()[:3000]) + "</p>"
+    assert html_extract.extracted(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).count() == 1
+
+
 def test_toxicity_learns_words_and_beginnings(spark):
     rng = random.Random(4)
     rows = []
@@ -374,6 +585,12 @@ def test_dropped_elements_end_where_html_ends_them(page, want):
     assert [b.text for b in html_extract.blocks_of(page)] == want
 
 
+def test_deep_pages_keep_their_paths():
+    shallow, deep = html_extract.blocks_of("<article><p>One"), html_extract.blocks_of("<article>" + "<div>" * 3000 + "<p>One</p>" + "</div>" * 3000 + "<p>Two")
+    parts = [sorted(b.path.all()) for b in (*shallow, *deep)]
+    assert parts[0] == parts[2] and len(parts[1]) == 3002 and set(parts[0]) < set(parts[1])
+
+
 def test_labeller_on_unseen_pages():
     grammar = PageGrammar(77)
     pages = [b for b in (html_extract.blocks_of(grammar.page(), marks=True) for _ in range(80)) if b]
