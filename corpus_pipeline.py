@@ -2,6 +2,18 @@
 
 Each stage function takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each
 result as Parquet in the shared folder and reads it again as the next stage's documents.
+Decisions are made on ids and hashes. Toxicity and decontamination drop documents in the pass
+that reads their texts; dedup and mixing join small decisions to the texts, without a shuffle
+while Spark finds those small enough to broadcast; tokens need one shuffle, into doc_id order.
+
+Defined cases, for every stage: a null or empty text is not toxic, has fingerprint zero (so of
+all such documents one stays), holds no passage, has no words to mix, and so is not in the mix;
+in the last stage it is the end id alone. A null doc_id is a document like any other: the
+first two stages carry it, dedup takes it last in a component, the store puts it first. A null lang or source is a value of its own. Rows
+repeating a doc_id are documents of their own, but that equal rows are near-duplicates. Texts
+of any length are read whole. Ties: dedup keeps the least doc_id, then by hashes. An empty
+table goes through every stage as one. Extra columns, whatever their names, are kept by all
+stages but the last, whose rows are doc_id, start, n_tokens and ids_crc32.
 """
 
 from __future__ import annotations
@@ -14,7 +26,7 @@ from motifspark.llm.queries import toxic_model
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the pattern grammar scores below 0.5."""
+    """Documents that the pattern grammar scores below 0.5; labels are looked up by doc_id in the table of labels."""
     return toxicity.filtered(docs, toxic_model(spark, docs, sf_dir))
 
 

@@ -19,6 +19,7 @@ from .operators import index, matcher, reorder, results
 from .plans import generate, planner
 from .plans.planner import Pattern
 from .sources import text
+from .sources.scratch import scratch
 
 ENTITIES = """
 WITH v AS (
@@ -119,6 +120,7 @@ _add("io_relabelled_graph", _on(PU, lambda g: index.edges(index.relabelled(g, in
 
 # Filters and exports.
 _add("export_without_hubs", _on(EN, lambda g: index.edges(index.without_hubs(g, 100))), E + "SELECT a.u AS src, a.v AS dst FROM " + FREE.format(100) + " AND a.u < a.v")
+_add("hub_list", _on(EN, lambda g: stats.hubs(g, 100)), E + "SELECT id, CAST(pmd AS BIGINT) AS partition_max_degree FROM pmd WHERE pmd >= 100")
 _add("export_without_vertex", _on(PU, lambda g: index.edges(index.without_vertex(g, 7))), P + "SELECT u AS src, v AS dst FROM arcs WHERE u < v AND u <> 7 AND v <> 7")
 _add("has_edge_pairs", _on(PU, lambda g: cand.has_edges(g, g.vertices.select(F.col("id").alias("a"), F.explode(F.array(*(F.pmod(F.col("id") * k + 1, F.lit(200)) for k in (3, 7, 11)))).alias("b")).distinct())),
      P + "SELECT DISTINCT p.a, p.b FROM (SELECT id AS a, unnest([(id * 3 + 1) % 200, (id * 7 + 1) % 200, (id * 11 + 1) % 200]) AS b FROM vx) p JOIN arcs ON u = p.a AND v = p.b")
@@ -131,10 +133,7 @@ def _through(write, read):
     """Write the graph to a scratch folder, read it back, and list its edges with the ends' raw labels."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        import uuid
-
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-        path = f"{root}/graph-{uuid.uuid4().hex}"
+        path = scratch(spark, "graph")
         write(PU(spark, d), path)
         g = read(spark, path)
         raw = g.labels.select(F.col("label"), F.col("raw_label").cast("long").alias("raw_label"))
@@ -179,20 +178,33 @@ PATTERNS = {
 }
 
 
-def pattern_sql(p: Pattern, base: str, distinct: bool = True, where: str = "", leaf_free: bool = False, count: bool = False) -> str:
-    """The self-join chain of a pattern, a table a step: an arcs instance an edge, in an order that stays connected."""
-    order = planner.join_order(p, [0.0 if v not in p.leaves() else 1.0 for v in range(p.n)])
-    raw = lambda v: f"(SELECT label FROM lab WHERE raw_label = {p.labels[v]})"
-    tables = [f"s0 AS MATERIALIZED (SELECT c.id AS m{order[0]} FROM vx c WHERE c.label = {raw(order[0])}{where.format(seed='c.id')})"]
-    done = [order[0]]
-    for k, s in enumerate(planner.steps(p, order)[1:], 1):
-        new, (first, *more) = f"m{s.vertex}", s.anchors
-        joins = f"JOIN arcs a0 ON a0.u = t.m{first} AND a0.lv = {raw(s.vertex)}"
-        joins += "".join(f" JOIN arcs a{i} ON a{i}.u = t.m{a} AND a{i}.v = a0.v" for i, a in enumerate(more, 1))
-        unlike = [f"a0.v <> t.m{o}" for o in s.same] if distinct and not (leaf_free and s.leaf) else []
-        tables.append(f"s{k} AS MATERIALIZED (SELECT {', '.join(f't.m{v}' for v in done)}, a0.v AS {new} FROM s{k - 1} t {joins}{' WHERE ' + ' AND '.join(unlike) if unlike else ''})")
-        done.append(s.vertex)
-    return f"{base}, {', '.join(tables)} SELECT {'count(*) AS embeddings' if count else ', '.join(f'm{v}' for v in range(p.n))} FROM s{p.n - 1}"
+def label_sql(p: Pattern, v: int) -> str:
+    return f"(SELECT label FROM lab WHERE raw_label = {p.labels[v]})"
+
+
+def pattern_sql(p: Pattern, base: str, distinct: bool = True, where: dict[int, str] | None = None, leaf_free: bool = False, only: list[int] | None = None) -> str:
+    """The self-join chain of a pattern, from its edges and labels alone: vertices in the order of their numbers, as far as it stays connected.
+
+    ``where``: a condition on ``c.id`` for some vertices. ``only``: the part of the pattern on these vertices.
+    """
+    own = sorted(range(p.n) if only is None else only)
+    next_to = {v: [w for w in own if (min(v, w), max(v, w)) in p.edges] for v in own}
+    leaf = {v for v in own if len(next_to[v]) == 1}
+    test = lambda v: f"c.label = {label_sql(p, v)}" + "".join(f" AND {x}" for x in [(where or {}).get(v)] if x)
+    done, tables = own[:1], [f"s0 AS MATERIALIZED (SELECT c.id AS m{own[0]} FROM vx c WHERE {test(own[0])})"]
+    while len(done) < len(own):
+        new = min(w for v in done for w in next_to[v] if w not in done)
+        joins = " ".join(f"JOIN arcs a{a} ON a{a}.u = t.m{a} AND a{a}.v = c.id" for a in next_to[new] if a in done)
+        unlike = [f" AND c.id <> t.m{o}" for o in done if p.labels[o] == p.labels[new] and distinct and not (leaf_free and {o, new} & leaf)]
+        tables.append(f"s{len(done)} AS MATERIALIZED (SELECT {', '.join(f't.m{v}' for v in done)}, c.id AS m{new} FROM s{len(done) - 1} t JOIN vx c ON {test(new)} {joins} WHERE true{''.join(unlike)})")
+        done.append(new)
+    return f"{base}, {', '.join(tables)} SELECT {', '.join(f'm{v}' for v in own)} FROM s{len(own) - 1}"
+
+
+def count_sql(p: Pattern, base: str, **kw) -> str:
+    """How many embeddings there are: the same, counted."""
+    head, _, last = pattern_sql(p, base, **kw).rpartition(" FROM ")
+    return f"{head.rpartition(' SELECT ')[0]} SELECT count(*) AS embeddings FROM {last}"
 
 
 def _matching(graph, p: Pattern, **kw):
@@ -211,7 +223,7 @@ _p = Pattern.of((1, 2, 3, 1), "01 12 23")
 _add("match_leaves_repeat", _matching(PU, _p, leaf_injective=False), pattern_sql(_p, P, leaf_free=True))
 _add("match_homomorphism", _matching(PU, _p, semantics="homomorphism"), pattern_sql(_p, P, distinct=False))
 _wedge = Pattern.of((3, 6, 17), "01 02")
-_add("match_from_hubs", lambda spark, d: matcher.from_hubs(PU(spark, d), _wedge, 15), pattern_sql(_wedge, P, where=" AND EXISTS (SELECT 1 FROM pmd WHERE pmd.id = {seed} AND pmd >= 15)"))
+_add("match_from_hubs", lambda spark, d: matcher.from_hubs(PU(spark, d), _wedge, 15), pattern_sql(_wedge, P, where={0: "EXISTS (SELECT 1 FROM pmd WHERE pmd.id = c.id AND pmd >= 15)"}))
 
 # Candidates.
 for _name in ("match_triangle", "match_cycle4"):
@@ -246,7 +258,7 @@ for _name, _of in (("count_star_factorized", "match_star"), ("count_path_factori
     _graph, _edges, _labels = PATTERNS[_of]
     _p = Pattern.of(_labels, _edges)
     _base = E if _graph is EN else P
-    _add(_name, (lambda spark, d, g=_graph, p=_p: matcher.count(g(spark, d), p)), pattern_sql(_p, _base, count=True))
+    _add(_name, (lambda spark, d, g=_graph, p=_p: matcher.count(g(spark, d), p)), count_sql(_p, _base))
 _add("count_unlabelled_triangles", lambda spark, d: matcher.count(testgraphs.unlabelled(spark, d), Pattern.of((0, 0, 0), "01 02 12")),
      PURCHASES.replace("{labels}", "1") + GRAPH + "SELECT 6 * count(*) AS embeddings FROM arcs a JOIN arcs b ON b.u = a.v AND b.v > b.u JOIN arcs c ON c.u = a.u AND c.v = b.v WHERE a.u < a.v")
 
@@ -263,17 +275,48 @@ pairs AS (SELECT a, b, common FROM pair UNION ALL SELECT b, a, common FROM pair)
 r AS (SELECT a, row_number() OVER (PARTITION BY a ORDER BY common DESC, b) AS "rank", b, common FROM pairs) SELECT a, "rank", b, common FROM r WHERE "rank" <= 5""")
 _add("reorder_locality", _on(PU, reorder.locality))
 
-# Plans and generated workloads: rows only.
+# Plans and generated workloads.
 _house = Pattern.of((0, 1, 2, 3, 4), "01 02 04 13 24 34")
+_path = Pattern.of((1, 2, 3, 4), "01 12 23")
 
 
 def _order(spark: SparkSession, d: str) -> DataFrame:
-    todo, counts = matcher.plan(PU(spark, d), _house)
+    todo, counts = matcher.plan(PU(spark, d), _tailed)
     rows = [(i, s.vertex, ",".join(map(str, s.anchors)), s.leaf, counts[s.vertex]) for i, s in enumerate(todo)]
     return spark.createDataFrame(rows, "step int, vertex int, anchors string, leaf boolean, candidates long")
 
 
-_add("join_order", _order)
-_add("match_profile", lambda spark, d: results.profile(PU(spark, d), _house))
-_add("match_limit", _matching(PU, Pattern.of((1, 2, 3, 4), "01 12 23"), limit=100))
-_add("generated_query_match", lambda spark, d: matcher.match(PU(spark, d), generate.labelled(generate.topology(4, random.Random(5)), 20, random.Random(6))))
+_tailed = Pattern.of((9, 2, 3, 18, 8), "01 12 13 14 24")
+_sides = ", ".join(f"({a}, {b}), ({b}, {a})" for a, b in sorted(_tailed.edges))
+# Candidates over degree, leaves last; then always the connected vertex of least score; ties to the lower number.
+_add("join_order", _order, P.replace("WITH v", "WITH RECURSIVE v", 1) + f"""
+, pe(v, w) AS (VALUES {_sides})
+, c AS ({' UNION ALL '.join(f"SELECT {v} AS v, (SELECT count(*) FROM vx WHERE raw_label = {_tailed.labels[v]}{_has(_tailed, v)}) AS candidates" for v in range(_tailed.n))})
+, score AS MATERIALIZED (SELECT c.v, candidates, count(*) = 1 AS leaf, CASE WHEN count(*) = 1 THEN 1e300 ELSE candidates / count(*) END AS score FROM c JOIN pe ON pe.v = c.v GROUP BY c.v, candidates)
+, o(k, chosen) AS (
+  SELECT 1, [(SELECT v FROM score ORDER BY score, v LIMIT 1)]
+  UNION ALL
+  SELECT k + 1, list_append(chosen, first(score.v ORDER BY score.score, score.v)) FROM o JOIN pe ON list_contains(chosen, pe.w) JOIN score ON score.v = pe.v
+  WHERE NOT list_contains(chosen, score.v) GROUP BY k, chosen
+), done AS (SELECT unnest(chosen) AS v, generate_subscripts(chosen, 1) AS i FROM o WHERE k = {_tailed.n})
+SELECT CAST(i - 1 AS INTEGER) AS step, CAST(done.v AS INTEGER) AS vertex, leaf, candidates,
+  coalesce((SELECT string_agg(CAST(x.v AS VARCHAR), ',' ORDER BY x.i) FROM done x JOIN pe ON pe.w = x.v AND pe.v = done.v WHERE x.i < done.i), '') AS anchors
+FROM done JOIN score ON score.v = done.v""")
+
+
+def _profile_sql(p: Pattern, order: list[int]) -> str:
+    """A row for each step: the embeddings of the vertices up to it, all of them candidates."""
+    near = {v: _has(p, v).removeprefix(" AND ").replace("vx.id", "c.id") for v in range(p.n)}
+    rows = []
+    for k, v in enumerate(order):
+        n = count_sql(p, "WITH none AS (SELECT 1)", where=near, only=order[: k + 1])
+        cands = f"(SELECT count(*) FROM vx c WHERE raw_label = {p.labels[v]} AND {near[v]})"
+        rows.append(f"SELECT {k} AS step, {v} AS vertex, {cands} AS candidates, ({n}) AS \"rows\"")
+    return P + " UNION ALL ".join(rows)
+
+
+_add("match_profile", lambda spark, d: results.profile(PU(spark, d), _house, [0, 1, 2, 4, 3]).drop("seconds"), _profile_sql(_house, [0, 1, 2, 4, 3]))
+_add("match_limit", lambda spark, d: matcher.match(PU(spark, d), _path, limit=100).join(matcher.match(PU(spark, d), _path), ["m0", "m1", "m2", "m3"], "left_semi").agg(F.count("*").alias("embeddings")),
+     count_sql(_path, P).replace("count(*) AS embeddings", "least(100, count(*)) AS embeddings"))
+_drawn = generate.labelled(generate.topology(4, random.Random(5)), 20, random.Random(6))
+_add("generated_query_match", lambda spark, d: matcher.match(PU(spark, d), _drawn), pattern_sql(_drawn, P))

@@ -15,7 +15,7 @@ def vertex_degree(g: LabeledGraph) -> DataFrame:
 
 def label_degree(g: LabeledGraph) -> DataFrame:
     """id, neighbor_label, degree: neighbours of each label."""
-    return g.arcs.groupBy(F.col("u").alias("id"), F.col("lv").cast("long").alias("neighbor_label")).agg(F.count("*").alias("degree"))
+    return g.degrees().select(F.col("u").alias("id"), F.col("lv").cast("long").alias("neighbor_label"), F.col("deg").alias("degree"))
 
 
 def partition_max_degree(g: LabeledGraph) -> DataFrame:
@@ -49,16 +49,21 @@ def two_hop_label_degree(g: LabeledGraph) -> DataFrame:
     return g.arcs.select("u", "v").join(d, "v").groupBy(F.col("u").alias("id"), "neighbor_label").agg(F.sum("degree").alias("two_hop"))
 
 
+def hubs(g: LabeledGraph, least: int) -> DataFrame:
+    """id, partition_max_degree of the vertices with a per-label degree of ``least`` or more."""
+    return partition_max_degree(g).filter(F.col("partition_max_degree") >= least)
+
+
 def hub_count(g: LabeledGraph, least: int) -> DataFrame:
     """hubs: how many vertices have a per-label degree of ``least`` or more."""
-    return partition_max_degree(g).filter(F.col("partition_max_degree") >= least).agg(F.count("*").alias("hubs"))
+    return hubs(g, least).agg(F.count("*").alias("hubs"))
 
 
 def label_pair_cardinality(g: LabeledGraph) -> DataFrame:
     """label, neighbor_label, vertices: how many vertices of a label have a neighbour of another."""
-    return g.arcs.select("lu", "lv", "u").distinct().groupBy(F.col("lu").cast("long").alias("label"), F.col("lv").cast("long").alias("neighbor_label")).agg(F.count("*").alias("vertices"))
+    return g.pairs().select(F.col("lu").cast("long").alias("label"), F.col("lv").cast("long").alias("neighbor_label"), F.col("n").alias("vertices"))
 
 
 def adjacency_lists(g: LabeledGraph) -> DataFrame:
-    """id, neighbors: ascending, as text joined by spaces (a list a vertex)."""
+    """id, neighbors: ascending, as text joined by spaces; a dump for the eye, a row a vertex, so a hub's row holds its whole list."""
     return g.arcs.groupBy(F.col("u").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("v")), " ").alias("neighbors"))

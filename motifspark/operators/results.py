@@ -32,8 +32,18 @@ def report(g: LabeledGraph, pattern: Pattern, **kw) -> MatchReport:
     return MatchReport(counts, [s.vertex for s in todo], planner.show(todo), n, planned - t, time.perf_counter() - planned)
 
 
-def profile(g: LabeledGraph, pattern: Pattern) -> DataFrame:
-    """step, vertex, candidates, embeddings: the plan's steps and how many embeddings there are."""
-    r = report(g, pattern)
-    rows = [(i, v, int(r.candidates[v]), r.embeddings) for i, v in enumerate(r.order)]
-    return g.vertices.sparkSession.createDataFrame(rows, "step int, vertex int, candidates long, embeddings long")
+def profile(g: LabeledGraph, pattern: Pattern, order: list[int] | None = None, **kw) -> DataFrame:
+    """step, vertex, candidates, rows, seconds: each step's embeddings of the vertices matched so far, and the time to count them.
+
+    A step's rows are counted anew from the first on, as one query; ``order`` takes the place of the planned one.
+    """
+    dense = matcher.dense_labels(g, pattern)
+    out: list[tuple[int, int, int, int, float]] = []
+    if dense is not None:
+        counts = matcher.candidate_counts(g, pattern, dense)
+        todo = planner.steps(pattern, order) if order else matcher.plan(g, pattern, dense)[0]
+        for i, (df, step) in enumerate(matcher.prefixes(g, pattern, dense, todo, **kw)):
+            t = time.perf_counter()
+            n = df.count()
+            out.append((i, step.vertex, counts[step.vertex], n, time.perf_counter() - t))
+    return g.vertices.sparkSession.createDataFrame(out, "step int, vertex int, candidates long, rows long, seconds double")

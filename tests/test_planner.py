@@ -30,3 +30,16 @@ def test_generated_patterns_round_trip(n, seed):
     assert p.connected() and len(set(p.labels)) == n
     for encoding in ("native", "degree", "annotated"):
         assert read_pattern(write_pattern(p, encoding)) == p
+
+
+#: One star of three leaves in the three encodings of the pattern files.
+STAR = {
+    "native": "t 4 3\nv 0 6\nv 1 12\nv 2 9\nv 3 1\ne 0 1 0\ne 0 2 0\ne 0 3 0\n",
+    "degree": "t 1 4 6\n0 6 3 1 2 3 \n1 12 1 0 \n2 9 1 0 \n3 1 1 0 \n",
+    "annotated": "t 4 3\nv 0 6 3\nv 1 12 1\nv 2 9 1\nv 3 1 1\ne 0 1\ne 0 2\ne 0 3\nt # -1\n",
+}
+
+
+@pytest.mark.parametrize("encoding", STAR)
+def test_pattern_files(encoding):
+    assert read_pattern(STAR[encoding]) == Pattern.of((6, 12, 9, 1), "01 02 03")
