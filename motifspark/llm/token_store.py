@@ -51,8 +51,11 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+PACKS = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
 def pack(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return PACKS[len(ids)](*ids) if len(ids) < len(PACKS) else struct.pack(f"<{len(ids)}I", *ids)
 
 
 def cuts_at_spaces(settings: dict) -> bool:
@@ -77,7 +80,7 @@ class PieceStore(dict):
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in plain]
         self.shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
-        self.space = self.shown[32]
+        self.space, self.line = self.shown[32], self.whole(["\n"])[0]
         self.marks: dict[str, bytes] = {}
         self.firsts: dict[str, bytes] = {}
 
@@ -89,8 +92,13 @@ class PieceStore(dict):
 
     def piece(self, text: str, space: str) -> bytes:
         """The ids of a piece, after a space or not: words through the model, all else through the tokenizer."""
+        if text.isascii() and text.isalpha():
+            return self.word(text, space)
         m = SIMPLE.fullmatch(text)
         if m is None:
+            if "\n" in text:  # a line end between two words is a pre-token of its own
+                first, *rest = text.split("\n")
+                return b"".join([self[first] if space else self.first(first), *(x for part in rest for x in (self.line, self.first(part)))])
             return self.whole([" " * bool(space) + text])[0]
         word, tail = m.groups()
         if not tail:
@@ -99,8 +107,14 @@ class PieceStore(dict):
         if marks is None:
             marks = self.marks[tail] = self.word(tail)
         # The word alone is mostly known: texts hold it without marks too.
-        known = self.get(word) if space else None
-        return (known or self.word(word, space)) + marks
+        return (self[word] if space else self.first(word)) + marks
+
+    def first(self, text: str) -> bytes:
+        """The ids of a piece without a space before it."""
+        out = self.firsts.get(text)
+        if out is None:
+            out = self.firsts[text] = self.piece(text, "")
+        return out
 
     def __missing__(self, text: str) -> bytes:
         out = self[text] = self.piece(text, self.space)
@@ -113,18 +127,16 @@ class PieceStore(dict):
         """The ids of each text."""
         out: list[bytes] = [b""] * len(texts)
         odd: list[int] = []
-        get, firsts = self.__getitem__, self.firsts
+        get = self.__getitem__
         for i, t in enumerate(texts):
             if not self.cuts or any(map(t.__contains__, ODD)) or t.endswith(" "):
                 odd.append(i)
             elif t:
-                if len(self) + len(firsts) > self.most:
+                if len(self) + len(self.firsts) > self.most:
                     self.clear()
-                    firsts.clear()
+                    self.firsts.clear()
                 first, _, rest = t.partition(" ")
-                if first and first not in firsts:
-                    firsts[first] = self.piece(first, "")
-                head = firsts[first] if first else b""
+                head = self.first(first) if first else b""
                 out[i] = head + b"".join(map(get, rest.split(" "))) if rest else head
         if odd:
             for i, b in zip(odd, self.whole([texts[i] for i in odd])):
@@ -165,7 +177,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2, file_
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     files = max(parts(spark), -(-own.count() // file_rows))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    dealt = own.repartitionByRange(files, *order).sortWithinPartitions(*order, "text")
+    # Ranges are drawn from a sample; it need not read texts where no id repeats so often that its rows must be parted.
+    often = own.groupBy("doc_id").agg(F.count("*").alias("n")).filter(F.col("n") > file_rows // 8).head(1)
+    dealt = own.repartitionByRange(files, *order[: 1 + bool(often)]).sortWithinPartitions(*order, "text")
     ids = dealt.mapInArrow(lambda it: encode_batches(it, tokenizer, end), SCHEMA)
     (ids.write.format("orc").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
      .option("orc.row.index.stride", "10000").option("orc.stripe.size", str(64 << 20)).option("compression", "lz4").save(path))
@@ -184,7 +198,7 @@ def documents_of(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
 def checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("ids")
-        flat = ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
+        flat = ids.values.to_numpy(zero_copy_only=False).view("<u4")
         offs = ids.offsets.to_numpy()
         n = np.diff(offs)
         crc = [zlib.crc32(flat[a:b]) for a, b in zip(offs, offs[1:])]
