@@ -266,7 +266,8 @@ def _finder(spark: SparkSession, model: ToxicModel):
         for a, b in text_chunks(texts):
             words = [tokens_of(t) for t in texts[a:b]]
             lens = [len(x) for x in words]
-            v = store.rows[store.look([w for x in words for w in x])]
+            at = store.look([w for x in words for w in x])  # before rows are taken: it may move them
+            v = store.rows[at]
             end = np.cumsum(lens)
             hits = by_document(((v[:, :1] == INSULT) | (v[:, :1] == THREAT)).astype(np.float64), lens)[:, 0]
             for i in np.flatnonzero(hits):
