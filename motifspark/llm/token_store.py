@@ -11,7 +11,9 @@ Byte-level BPE never merges across the tokenizer's pre-tokens, and a space befor
 but white space starts one. So a text without runs of blanks is cut at its spaces, the
 distinct pieces are encoded once by the tokenizer and kept, and a document's ids are its
 pieces' ids one after another: the ids that encoding the whole text gives, at a fraction of
-the time. Other texts, and texts that hold a special token's string, are encoded whole; so is
+the time. Cutting, finding distinct pieces, looking them up and laying out the ids are Arrow and
+numpy operations on some ``CHUNK`` bytes of texts; Python sees only pieces not met before.
+Other texts, and texts that hold a special token's string, are encoded whole; so is
 every text where the tokenizer's file does not say that it is of this kind.
 
 Defined cases: a null text is the empty one (the end id alone). Null doc_ids come first. Rows
@@ -31,14 +33,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, parts, small_batches, written
 
 #: What keeps a text from being cut at its spaces: runs of white space, white space other than a
-#: blank or a line end, and what may begin a special token.
-ODD = ("  ", " \n", "\n ", "\n\n", "<|", *"\t\r\f\v\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
+#: blank or a line end, a blank at the end, and what may begin a special token.
+ODD = "  | \\n|\\n |\\n\\n|<\\||[\\t\\r\\f\\v\\x1c-\\x1f\\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]| $"
+CHUNK, KEPT = 16 << 20, 3_000_000
 #: A piece that is one word and the marks after it: the tokenizer cuts it between the two. Latin letters only,
 #: as the classes of others differ between libraries.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?#$%&*|()-]*)")
@@ -66,10 +70,10 @@ def cuts_at_spaces(settings: dict) -> bool:
             and all(t["content"].startswith("<|") for t in settings.get("added_tokens") or ()))
 
 
-class PieceStore(dict):
-    """The ids of pieces after a space, as little-endian 32-bit bytes; emptied when it holds ``most``."""
+class PieceStore:
+    """The ids of pieces after a space: one Arrow array of pieces and one of their ids; emptied when it holds ``most``."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -83,6 +87,11 @@ class PieceStore(dict):
         self.space, self.line = self.shown[32], self.whole(["\n"])[0]
         self.marks: dict[str, bytes] = {}
         self.firsts: dict[str, bytes] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.known, self.flat, self.ends = pa.array([""]), np.zeros(0, np.int32), np.zeros(2, np.int64)  # the empty piece has no ids
+        self.firsts.clear()
 
     def word(self, text: str, space: str = "") -> bytes:
         """The ids of one pre-token, straight from the model."""
@@ -90,58 +99,110 @@ class PieceStore(dict):
             text = "".join(map(self.shown.__getitem__, text.encode()))
         return pack([t.id for t in self.tok.model.tokenize(space + text)])
 
+    def mark(self, tail: str) -> bytes:
+        if tail not in self.marks:
+            self.marks[tail] = self.word(tail)
+        return self.marks[tail]
+
     def piece(self, text: str, space: str) -> bytes:
         """The ids of a piece, after a space or not: words through the model, all else through the tokenizer."""
-        if text.isascii() and text.isalpha():
-            return self.word(text, space)
         m = SIMPLE.fullmatch(text)
-        if m is None:
-            if "\n" in text:  # a line end between two words is a pre-token of its own
-                first, *rest = text.split("\n")
-                return b"".join([self[first] if space else self.first(first), *(x for part in rest for x in (self.line, self.first(part)))])
-            return self.whole([" " * bool(space) + text])[0]
-        word, tail = m.groups()
-        if not tail:
-            return self.word(word, space)
-        marks = self.marks.get(tail)
-        if marks is None:
-            marks = self.marks[tail] = self.word(tail)
-        # The word alone is mostly known: texts hold it without marks too.
-        return (self[word] if space else self.first(word)) + marks
+        if m is not None:
+            return self.word(m[1], space) + (self.mark(m[2]) if m[2] else b"")
+        if "\n" in text:  # a line end between two words is a pre-token of its own
+            first, *rest = text.split("\n")
+            return b"".join([self.piece(first, space) if first else b"", *(x for part in rest for x in (self.line, self.first(part)))])
+        return self.whole([" " * bool(space) + text])[0]
 
     def first(self, text: str) -> bytes:
         """The ids of a piece without a space before it."""
+        if not text:
+            return b""
         out = self.firsts.get(text)
         if out is None:
             out = self.firsts[text] = self.piece(text, "")
         return out
 
-    def __missing__(self, text: str) -> bytes:
-        out = self[text] = self.piece(text, self.space)
-        return out
-
     def whole(self, texts: list[str]) -> list[bytes]:
         return [pack(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        out: list[bytes] = [b""] * len(texts)
-        odd: list[int] = []
-        get = self.__getitem__
-        for i, t in enumerate(texts):
-            if not self.cuts or any(map(t.__contains__, ODD)) or t.endswith(" "):
-                odd.append(i)
-            elif t:
-                if len(self) + len(self.firsts) > self.most:
-                    self.clear()
-                    self.firsts.clear()
-                first, _, rest = t.partition(" ")
-                head = self.first(first) if first else b""
-                out[i] = head + b"".join(map(get, rest.split(" "))) if rest else head
-        if odd:
-            for i, b in zip(odd, self.whole([texts[i] for i in odd])):
-                out[i] = b
-        return out
+    def places(self, pieces: pa.Array) -> np.ndarray:
+        """Where the store holds each of some distinct pieces; those it lacks are encoded and added."""
+        at = pc.index_in(pieces, value_set=self.known)
+        new = pieces.filter(pc.is_null(at)).to_pylist()
+        at = at.fill_null(-1).to_numpy(zero_copy_only=False)
+        if new:
+            ids, marked, encode, space = [b""] * len(new), {}, self.tok.model.tokenize, self.space
+            for i, t in enumerate(new):
+                if t.isascii() and t.isalpha():
+                    ids[i] = pack([x.id for x in encode(space + t)])
+                elif (m := SIMPLE.fullmatch(t)) and m[2]:
+                    marked[i] = m  # the word alone is mostly known: texts hold it without marks too
+                else:
+                    ids[i] = self.piece(t, self.space)
+            if marked:
+                words = dict.fromkeys(m[1] for m in marked.values())
+                rows = dict(zip(words, self.places(pa.array(list(words))).tolist()))
+                for i, m in marked.items():
+                    r = rows[m[1]]
+                    ids[i] = self.flat[self.ends[r] : self.ends[r + 1]].tobytes() + self.mark(m[2])
+            # A word that came with marks may be among the new ones too, and then is there by now.
+            again = pc.index_in(pa.array(new), value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False) if marked else np.full(len(new), -1)
+            here = np.flatnonzero(again < 0)
+            again = again.astype(np.int64)
+            again[here] = len(self.known) + np.arange(len(here))
+            own = [ids[i] for i in here]
+            self.known = pa.concat_arrays([self.known, pa.array(new).take(pa.array(here))])
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(own), "<i4")])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, own), np.int64, len(own))) // 4])
+            at = at.astype(np.int64)
+            at[at < 0] = again
+        return at
+
+    def encode(self, texts: pa.Array, end: int) -> pa.ListArray:
+        """The ids of each text, and the end id."""
+        if len(self.known) > self.most:
+            self.clear()
+        texts = pc.fill_null(texts, "")
+        odd = np.flatnonzero(pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)) if self.cuts else np.arange(len(texts))
+        mask = np.zeros(len(texts), bool)
+        mask[odd] = True
+        words = pc.split_pattern(pc.if_else(pa.array(mask), "", texts), " ")
+        bounds = words.offsets.to_numpy().astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        index = coded.indices.to_numpy()
+        firsts, own = np.unique(index[bounds[:-1]], return_inverse=True)
+        rows = self.places(coded.dictionary)[index]
+        # After the store's pieces: firsts, which have no space before them, texts encoded whole, and the end.
+        more = [self.first(t) for t in coded.dictionary.take(pa.array(firsts)).to_pylist()]
+        n, wide = len(self.known), len(more)
+        more += self.whole(texts.take(pa.array(odd)).to_pylist()) if len(odd) else []
+        more.append(np.array([end], "<i4").tobytes())
+        flat = np.concatenate([self.flat, np.frombuffer(b"".join(more), "<i4")])
+        ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, more), np.int64, len(more))) // 4])
+        docs = np.arange(len(texts))
+        heads = bounds[:-1] + docs  # each text has one row more, its end
+        every = np.full(len(rows) + len(texts), n + len(more) - 1, np.int64)
+        every[np.arange(len(rows)) + np.repeat(docs, np.diff(bounds))] = rows
+        every[heads] = n + own
+        every[heads[odd]] = n + wide + np.arange(len(odd))
+        start, lens = ends[every], ends[every + 1] - ends[every]
+        upto = np.concatenate([[0], np.cumsum(lens)])
+        values = flat[np.repeat(start - upto[:-1], lens) + np.arange(upto[-1])]
+        return pa.ListArray.from_arrays(pa.array(upto[np.append(heads, len(every))].astype(np.int32)), pa.array(values))
+
+
+def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """Batches put together to some ``size`` bytes of texts."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.column(1).nbytes
+        if n >= size:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
@@ -149,18 +210,14 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end: int) -> It
     store = _kept.get(path)
     if store is None:
         store = _kept[path] = PieceStore(path)
-    stop = np.array([end], "<u4").tobytes()
     total = 0
-    for batch in batches:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        for a in range(0, len(texts), 64):  # ids of 64 texts at a time: bounded memory
-            each = store.encode(texts[a : a + 64])
-            ends = np.cumsum(np.fromiter((len(b) // 4 + 1 for b in each), np.int64, len(each)))
-            flat = np.frombuffer(b"".join(x for b in each for x in (b, stop)), "<i4")
-            starts = np.concatenate([[0], ends])
-            ids = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(each)), ids, pa.array(total + starts[:-1])], names=["doc_id", "ids", "before"])
-            total += int(ends[-1])
+    for batch in chunks(batches):
+        ids = store.encode(batch.column(1), end)
+        starts = ids.offsets.to_numpy().astype(np.int64)
+        out = pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(total + starts[:-1])], names=["doc_id", "ids", "before"])
+        total += int(starts[-1])
+        for a in range(0, out.num_rows, 256):
+            yield out.slice(a, 256)
 
 
 SCHEMA = "doc_id long, ids array<int>, before long"
@@ -177,9 +234,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2, file_
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     files = max(parts(spark), -(-own.count() // file_rows))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    # Ranges are drawn from a sample; it need not read texts where no id repeats so often that its rows must be parted.
-    often = own.groupBy("doc_id").agg(F.count("*").alias("n")).filter(F.col("n") > file_rows // 8).head(1)
-    dealt = own.repartitionByRange(files, *order[: 1 + bool(often)]).sortWithinPartitions(*order, "text")
+    dealt = own.repartitionByRange(files, *order).sortWithinPartitions(*order, "text")
     ids = dealt.mapInArrow(lambda it: encode_batches(it, tokenizer, end), SCHEMA)
     (ids.write.format("orc").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
      .option("orc.row.index.stride", "10000").option("orc.stripe.size", str(64 << 20)).option("compression", "lz4").save(path))

@@ -290,6 +290,42 @@ def test_shards_follow_the_law(docs):
     assert all(r["size"] == len(text[r["doc_id"]]) + 8 and r["text_crc32"] == zlib.crc32(text[r["doc_id"]]) for r in rows)
 
 
+def hilbert_index(point, bits=4):
+    """The curve's index of a point, by a walk down from the whole cube."""
+    n, entry, turn, index = len(point), 0, 0, 0
+    rot = lambda x, k: (x << k % n | x >> (n - k % n)) & (1 << n) - 1
+    for level in reversed(range(bits)):
+        corner = sum((c >> level & 1) << j for j, c in enumerate(point))
+        seen = rot(corner ^ entry, n - (turn + 1) % n)
+        w = next(i for i in range(1 << n) if i ^ i >> 1 == seen)
+        index = index << n | w
+        low = 0 if w == 0 else 2 * ((w - 1) // 2)
+        entry ^= rot(low ^ low >> 1, turn + 1)
+        odd = 0 if w == 0 else w if w % 2 else w - 1
+        turn = (turn + (len(bin(odd)) - len(bin(odd).rstrip("1"))) % n + 1) % n
+    return index
+
+
+def test_shards_equal_a_recomputation(docs):
+    rows = docs.collect()
+    text = [r["text"] or "" for r in rows]
+    least = {}
+    for r, t in zip(rows, text):
+        least[t] = min(least.get(t, (r["doc_id"], r)), (r["doc_id"], r), key=lambda x: x[0])
+    low, high = min(r["doc_id"] for r in rows), max(r["doc_id"] for r in rows)
+    keys = []
+    for r, t in zip(rows, text):
+        first, size = least[t][1], len(t.encode()) + 8
+        place = min(15, int((first["doc_id"] - low) / (high - low + 1) * 16))
+        point = (min(15, max(0, int(math.log2(size)) - 3)), xx([(first["lang"], "s")]) % 16, xx([(first["source"], "s")]) % 16, place)
+        keys.append((hilbert_index(point), xx([(t, "s")]), size, xx([(17, "i"), (r["doc_id"], "l"), (r["lang"], "s"), (r["source"], "s")]), r["doc_id"], zlib.crc32(t.encode())))
+    keys.sort()
+    n = len(keys)
+    want = [(k[4], k[2], k[5], i * 24 // n, i - -(-(i * 24 // n) * n // 24), k[0]) for i, k in enumerate(keys)]
+    got = [(r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"], r["cell"]) for r in hilbert_shards.sharded(docs).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_tokens_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
@@ -329,10 +365,15 @@ def test_other_tokenizers_encode_whole_texts():
     assert store.cuts and token_store.cuts_at_spaces(settings)
     for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": {"type": "Unigram"}}, {"added_tokens": [{"content": "[PAD]"}]}):
         assert not token_store.cuts_at_spaces(settings | change)
-    texts = ["one two  three", "", " a b", "x" * 50]
-    want = store.whole(texts)
+    rng = random.Random(11)
+    texts = ["one two  three", "", " a b", "x" * 50, " ", "a\nb", "\na b.\n"] + ["".join(rng.choice("ab Zé.,!?'-#½Ⅳ日\t\n 1279  ßñ<|\x85") for _ in range(rng.randrange(14))) for _ in range(3000)]
+    want = [e.ids + [2] for e in store.tok.encode_batch(texts, add_special_tokens=False)]
+    for most in (store.most, 40):  # a store that is emptied again and again gives the same
+        store.most = most
+        assert [x for k in range(0, len(texts), 100) for x in store.encode(token_store.pa.array(texts[k : k + 100]), 2).to_pylist()] == want
     store.cuts = False
-    assert store.encode(texts) == want
+    assert store.encode(token_store.pa.array(texts), 2).to_pylist() == want
+    assert store.encode(token_store.pa.array([None, "a"]), 2).to_pylist()[0] == [2]
 
 
 def test_overlaps_tolerate_substitutions(spark):
