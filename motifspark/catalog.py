@@ -190,13 +190,16 @@ def pattern_sql(p: Pattern, base: str, distinct: bool = True, where: dict[int, s
     own = sorted(range(p.n) if only is None else only)
     next_to = {v: [w for w in own if (min(v, w), max(v, w)) in p.edges] for v in own}
     leaf = {v for v in own if len(next_to[v]) == 1}
-    test = lambda v: f"c.label = {label_sql(p, v)}" + "".join(f" AND {x}" for x in [(where or {}).get(v)] if x)
-    done, tables = own[:1], [f"s0 AS MATERIALIZED (SELECT c.id AS m{own[0]} FROM vx c WHERE {test(own[0])})"]
+    tables = [f"c{v} AS MATERIALIZED (SELECT c.id FROM vx c WHERE c.label = {label_sql(p, v)}{f' AND {where[v]}' if where and v in where else ''})" for v in own]
+    tables += [f"e{a}_{b} AS MATERIALIZED (SELECT u, v FROM arcs WHERE lu = {label_sql(p, a)} AND lv = {label_sql(p, b)})" for a in own for b in next_to[a]]
+    tables.append(f"s0 AS MATERIALIZED (SELECT id AS m{own[0]} FROM c{own[0]})")
+    done = own[:1]
     while len(done) < len(own):
         new = min(w for v in done for w in next_to[v] if w not in done)
-        joins = " ".join(f"JOIN arcs a{a} ON a{a}.u = t.m{a} AND a{a}.v = c.id" for a in next_to[new] if a in done)
+        first, *more = (a for a in next_to[new] if a in done)
+        joins = f"JOIN e{first}_{new} a ON a.u = t.m{first} JOIN c{new} c ON c.id = a.v" + "".join(f" JOIN e{o}_{new} a{o} ON a{o}.u = t.m{o} AND a{o}.v = c.id" for o in more)
         unlike = [f" AND c.id <> t.m{o}" for o in done if p.labels[o] == p.labels[new] and distinct and not (leaf_free and {o, new} & leaf)]
-        tables.append(f"s{len(done)} AS MATERIALIZED (SELECT {', '.join(f't.m{v}' for v in done)}, c.id AS m{new} FROM s{len(done) - 1} t JOIN vx c ON {test(new)} {joins} WHERE true{''.join(unlike)})")
+        tables.append(f"s{len(done)} AS MATERIALIZED (SELECT {', '.join(f't.m{v}' for v in done)}, c.id AS m{new} FROM s{len(done) - 1} t {joins} WHERE true{''.join(unlike)})")
         done.append(new)
     return f"{base}, {', '.join(tables)} SELECT {', '.join(f'm{v}' for v in own)} FROM s{len(own) - 1}"
 
