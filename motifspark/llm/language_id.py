@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordScores, bounded, by_document, grid, over_texts, spans, text_chunks
+from .common import WordScores, bounded, by_document, grid, held, over_texts, spans, text_chunks
 
 #: Numbers that are no decimal digits (such as fractions) are word characters too, but no letters.
 NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
@@ -212,9 +212,6 @@ def train(rows: DataFrame, sample: int = SAMPLE, pieces: list[str] | None = None
     return LanguageModel(langs, pieces or vocabulary_pieces()).fit([counts[x] for x in langs])
 
 
-_models: dict[str, WordScores] = {}
-
-
 def identified(docs: DataFrame, model: LanguageModel, *keep: str) -> DataFrame:
     """doc_id, the columns ``keep``, lang_pred, score of every row."""
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.table, model.probs))  # pieces x languages numbers
@@ -224,10 +221,7 @@ def identified(docs: DataFrame, model: LanguageModel, *keep: str) -> DataFrame:
         langs, table, probs = sent.value
         own = LanguageModel(langs, [])
         own.table, own.probs = table, probs
-        store = _models.get(key)
-        if store is None and langs:
-            _models.clear()
-            store = _models[key] = WordScores(own.word_values, len(langs))
+        store = held(key, lambda: WordScores(own.word_values, len(langs)))
         pred, score = ["und"] * len(texts), np.zeros(len(texts))
         for a, b in text_chunks(texts) if langs else ():
             words = [letters_of(t) for t in texts[a:b]]

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordScores, bounded, by_document, grid, id_crc, over_texts, spans, text_chunks
+from .common import WordScores, bounded, by_document, grid, held, id_crc, over_texts, spans, text_chunks
 
 SAMPLE, BITS, DIM, LONGEST, GRAMS = 600, 16, 10, 40, (1, 2, 3, 4)
 REPEAT = (1 << BITS) + 1  # the row of the repetition mark; 1 << BITS is padding
@@ -134,9 +134,6 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: int, held: in
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
 
-_stores: dict[str, WordScores] = {}
-
-
 def scored(docs: DataFrame, model: QualityModel | None, *keep: str) -> DataFrame:
     """doc_id, the columns ``keep``, score (probability of class 1) of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -147,10 +144,7 @@ def scored(docs: DataFrame, model: QualityModel | None, *keep: str) -> DataFrame
         score = np.full(len(texts), 0.5)
         if own is None:
             return {"score": score}
-        store = _stores.get(key)
-        if store is None:
-            _stores.clear()
-            store = _stores[key] = WordScores(own.word_values, 1)
+        store = held(key, lambda: WordScores(own.word_values, 1))
         mark, bias = own.margins()[REPEAT], own.bias[1] - own.bias[0]
         for a, b in text_chunks(texts):
             words = [tokens_of(t) for t in texts[a:b]]

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordScores, bounded, by_document, kept_texts, over_texts, text_chunks
+from .common import WordScores, bounded, by_document, held, kept_texts, over_texts, text_chunks
 
 SAMPLE = 2000
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
@@ -192,14 +192,16 @@ class ToxicModel:
             yield from (w[:k] for k in range(3, min(len(w) - 1, longest) + 1))
             yield w + "$"
 
-        mass, raw = [1, 1], [Counter(), Counter()]
-        for t, y in zip(toks, labels):
-            mass[y] += len(t)
-            raw[y].update(b for w in t if w not in ".!?;\n\r" for b in beginnings(w))
+        mass = [1 + sum(len(t) for t, y in zip(toks, labels) if y == k) for k in (0, 1)]
         gain = math.log(sum(mass) / mass[1])  # what one context is worth
-        # Contexts are kept only for what is common enough, and not mostly clean, by plain counts.
-        maybe = {b for b, n in raw[1].items() if n * gain >= proof and raw[0][b] < 20 * n}
-        del raw
+
+        def counted(label: int, known=None) -> Counter:
+            return Counter(b for t, y in zip(toks, labels) if y == label for w in t if w not in ".!?;\n\r" for b in beginnings(w) if known is None or b in known)
+
+        # What is common enough in toxic texts; of that, what is not mostly clean: the clean side is counted for no other.
+        common = {b: n for b, n in counted(1).items() if n * gain >= proof}
+        clean = counted(0, common)
+        maybe = {b for b, n in common.items() if clean[b] < 20 * n}
         seen: list[dict[str, set]] = [{}, {}]
         for t, y in zip(toks, labels):
             for i, w in enumerate(t):
@@ -248,9 +250,6 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> ToxicModel:
     return model.fit(list(pdf["text"]), pdf["toxic"].to_numpy(np.int64)) if pdf["toxic"].nunique() == 2 else model
 
 
-_stores: dict[str, WordScores] = {}
-
-
 def _finder(spark: SparkSession, model: ToxicModel):
     """A function of texts, for the tasks, that gives the matched clauses by kind, a row a text."""
     sent = spark.sparkContext.broadcast(model)
@@ -258,10 +257,7 @@ def _finder(spark: SparkSession, model: ToxicModel):
 
     def found_in(texts: list[str]) -> np.ndarray:
         own = sent.value
-        store = _stores.get(key)
-        if store is None:
-            _stores.clear()
-            store = _stores[key] = WordScores(own.lexicon.values, 2)
+        store = held(key, lambda: WordScores(own.lexicon.values, 2))
         found = np.zeros((len(texts), len(KINDS)))
         for a, b in text_chunks(texts):
             words = [tokens_of(t) for t in texts[a:b]]
