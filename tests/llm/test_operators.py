@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from motifspark.llm import components, decontaminate, exact_topk, hilbert_shards, html_extract, language_id, mixing, quality, queries, simhash_dedup, token_store, toxicity
+from motifspark.llm import common, components, decontaminate, exact_topk, hilbert_shards, html_extract, language_id, mixing, quality, queries, simhash_dedup, token_store, toxicity
 from motifspark.llm.page_grammar import PageGrammar
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double"
@@ -441,6 +441,21 @@ def test_slices_are_bounded_and_hold_every_item(spark, monkeypatch):
         assert sum(map(len, long)) - 20 * (len(long) - 1) == 900
 
 
+def test_samples_are_bounded_by_rank(spark):
+    rows = spark.range(30_000).select(F.col("id").alias("doc_id"), (F.col("id") % 100 == 0).cast("int").alias("y"), F.lit("own").alias("_n"))
+    got = common.bounded(rows, "y", 250).collect()
+    assert sorted(r["y"] for r in got) == [0] * 250 + [1] * 250 and all(r["_n"] == "own" for r in got)
+    least = lambda y: sorted((xx([(7, "i"), (i, "l")]) % (1 << 40), i) for i in range(30_000) if (i % 100 == 0) == bool(y))[:250]
+    assert {r["doc_id"] for r in got} == {i for y in (0, 1) for _, i in least(y)}
+    assert common.bounded(rows.limit(0), "y", 5).count() == 0 and common.bounded(rows.filter("doc_id < 3"), "y", 5).count() == 3
+
+
+def test_ties_of_languages_go_by_code_point():
+    model = language_id.LanguageModel(["de", "en"], ["▁", "a"])
+    z = model.word_values(["a", "aaa"])
+    assert (z[:, 0] == z[:, 1]).all()
+
+
 def test_forward_sums_all_segmentations():
     pieces = ["▁a", "▁", "a", "b", "ab", "ba"]
     model = language_id.LanguageModel(["x"], pieces, np.array([[0.3], [0.1], [0.2], [0.1], [0.2], [0.1], [0]]))
@@ -555,6 +570,69 @@ def test_ids_pass_unharmed(spark):
     assert of(store) == ids == of(hilbert_shards.sharded(docs.withColumn("lang", F.lit("x")).withColumn("source", F.lit("y")))) == of(mixing.drawn_words(docs.withColumn("source", F.lit("y"))))
 
 
+def test_languages_equal_brute_force(spark):
+    pieces = ["▁", "a", "b", "ab", "▁b"]
+    probs = np.array([[0.3, 0.2], [0.2, 0.1], [0.1, 0.4], [0.3, 0.1], [0.1, 0.2], [0, 0]])
+    model = language_id.LanguageModel(["xx", "yy"], pieces, probs.copy())
+
+    def total(w, j):
+        return 1.0 if not w else sum(probs[pieces.index(w[:k]), j] * total(w[k:], j) for k in range(1, len(w) + 1) if w[:k] in pieces)
+
+    texts = ["ab", "b b", "aab ba, bab!", "A B", "", None, "12"]
+    rows = spark.createDataFrame([*enumerate(texts), (0, "ab")], "doc_id long, text string")
+    for r in language_id.identified(rows, model).collect():
+        words = [w.strip(",!") for w in (texts[r["doc_id"]] or "").lower().split()]
+        words = [w for w in words if w.isalpha()]
+        p = [math.prod(total("▁" + w, j) for w in words) for j in (0, 1)]
+        best = int(p[1] > p[0])
+        want = (["xx", "yy"][best], p[best] / sum(p)) if words else ("und", 0.0)
+        assert r["lang_pred"] == want[0] and r["score"] == pytest.approx(want[1])
+
+
+def test_quality_equals_brute_force(spark):
+    model = quality.QualityModel()
+    rng = np.random.default_rng(2)
+    model.out, model.bias = rng.normal(size=model.out.shape) * 40, np.array([0.1, -0.2])
+    texts = ["one two two three", "x" * 95, "", None, "a\tb\nb b", "été ½"]
+    rows = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string")
+    for r in quality.scored(rows, model).collect():
+        words = [w[k : k + quality.LONGEST] for w in (texts[r["doc_id"]] or "").split() for k in range(0, len(w), quality.LONGEST)]
+        vectors = []
+        for i, w in enumerate(words):
+            buckets, n = quality.features([w])
+            vectors.append(model.vectors[buckets[0]].sum(axis=0) / n[0])
+            if i and words[i - 1] == w:
+                vectors.append(model.vectors[quality.REPEAT])
+        z = (np.mean(vectors, axis=0) if vectors else np.zeros(quality.DIM)) @ model.out + model.bias
+        assert r["score"] == pytest.approx(np.exp(z[1]) / np.exp(z).sum())
+
+
+def test_toxic_clauses_equal_brute_force(spark):
+    """The composed machine against plain rules, read off each clause."""
+    rng = random.Random(13)
+    lexicon = {w: k for k, ws in toxicity.LEXICON.items() for w in ws.split()}
+    model = toxicity.ToxicModel()
+    some = ["you", "he", "not", "never", "said", "kill", "idiot", "moron", "word", "other", ".", ";", "one", "two"]
+    texts = [" ".join(rng.choice(some) for _ in range(rng.randrange(25))) for _ in range(300)]
+    got = {r["doc_id"]: r for r in toxicity.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for d, text in enumerate(texts):
+        found = np.zeros(len(toxicity.KINDS))
+        for clause in toxicity.re.split("[.;]", text):
+            kinds = set()
+            words = [lexicon.get(w) for w in clause.split()]
+            reach = 0  # words that the last negation still reaches
+            for i, w in enumerate(words):
+                hit = w in (toxicity.INSULT, toxicity.THREAT)
+                negated = hit and reach > 0
+                reach = 3 if w == toxicity.NEGATION else 0 if negated else max(0, reach - 1)
+                if hit and (w == toxicity.INSULT or toxicity.TARGET in words):
+                    kinds.add("negated" if negated else "reported" if toxicity.REPORT in words[:i] else "threat" if w == toxicity.THREAT else "targeted" if toxicity.TARGET in words else "plain")
+            for k in kinds:
+                found[toxicity.KINDS.index(k)] += 1
+        assert [got[d][k] for k in toxicity.KINDS] == found.tolist(), text
+        assert got[d]["score"] == pytest.approx(1 / (1 + math.exp(-(toxicity.PRIOR[0] + found @ toxicity.PRIOR[1:]))))
+
+
 def test_very_long_texts(spark):
     rng = random.Random(10)
     text = prose(rng, 150_000)
