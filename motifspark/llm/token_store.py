@@ -37,16 +37,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, parts, small_batches, written
+from .common import held, new_path, parts, small_batches, written
 
 #: What keeps a text from being cut at its spaces: runs of white space, white space other than a
 #: blank or a line end, a blank at the end, and what may begin a special token.
 ODD = "  | \\n|\\n |\\n\\n|<\\||[\\t\\r\\f\\v\\x1c-\\x1f\\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]| $"
-CHUNK, KEPT = 16 << 20, 3_000_000
+CHUNK, KEPT = 6 << 20, 800_000
 #: A piece that is one word and the marks after it: the tokenizer cuts it between the two. Latin letters only,
 #: as the classes of others differ between libraries.
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?#$%&*|()-]*)")
-_kept: dict[str, "PieceStore"] = {}
+SIMPLE = "([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?#$%&*|()-]*)"
+ONE, MANY = re.compile(SIMPLE), "^" + SIMPLE.replace("(", "(?P<word>", 1).replace(")(", ")(?P<tail>", 1) + "$"
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -84,15 +84,21 @@ class PieceStore:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in plain]
         self.shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+        self.high = {b: c for b, c in self.shown.items() if b > 127}
         self.space, self.line = self.shown[32], self.whole(["\n"])[0]
         self.marks: dict[str, bytes] = {}
         self.firsts: dict[str, bytes] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.flat, self.ends = pa.array([""]), np.zeros(0, np.int32), np.zeros(2, np.int64)  # the empty piece has no ids
+        self.known, self.ids = pa.array([""]), pa.array([b""])  # the empty piece has no ids
         self.firsts.clear()
 
+    def add(self, pieces: pa.Array, ids: pa.Array) -> np.ndarray:
+        rows = len(self.known) + np.arange(len(pieces))
+        self.known, self.ids = pa.concat_arrays([self.known, pieces]), pa.concat_arrays([self.ids, ids])
+        return rows
+
     def word(self, text: str, space: str = "") -> bytes:
         """The ids of one pre-token, straight from the model."""
         if not text.isascii():
@@ -106,12 +112,11 @@ class PieceStore:
 
     def piece(self, text: str, space: str) -> bytes:
         """The ids of a piece, after a space or not: words through the model, all else through the tokenizer."""
-        m = SIMPLE.fullmatch(text)
+        if text.startswith("\n"):  # a line end between two words is a pre-token of its own
+            return self.line + self.first(text[1:])
+        m = ONE.fullmatch(text)
         if m is not None:
             return self.word(m[1], space) + (self.mark(m[2]) if m[2] else b"")
-        if "\n" in text:  # a line end between two words is a pre-token of its own
-            first, *rest = text.split("\n")
-            return b"".join([self.piece(first, space) if first else b"", *(x for part in rest for x in (self.line, self.first(part)))])
         return self.whole([" " * bool(space) + text])[0]
 
     def first(self, text: str) -> bytes:
@@ -126,38 +131,43 @@ class PieceStore:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [pack(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def words(self, words: pa.Array) -> np.ndarray:
+        """Where the store holds each of some distinct words; those it lacks go through the model one by one."""
+        at = pc.index_in(words, value_set=self.known)
+        new = words.filter(pc.is_null(at))
+        rows = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(new):
+            shown = "\n".join(new.to_pylist())
+            if not shown.isascii():
+                shown = shown.encode().decode("latin-1").translate(self.high)
+            encode, space = self.tok.model.tokenize, self.space
+            ids = [pack([t.id for t in encode(space + w)]) for w in shown.split("\n")]
+            rows[rows < 0] = self.add(new, pa.array(ids, pa.binary()))
+        return rows
+
     def places(self, pieces: pa.Array) -> np.ndarray:
         """Where the store holds each of some distinct pieces; those it lacks are encoded and added."""
         at = pc.index_in(pieces, value_set=self.known)
-        new = pieces.filter(pc.is_null(at)).to_pylist()
-        at = at.fill_null(-1).to_numpy(zero_copy_only=False)
-        if new:
-            ids, marked, encode, space = [b""] * len(new), {}, self.tok.model.tokenize, self.space
-            for i, t in enumerate(new):
-                if t.isascii() and t.isalpha():
-                    ids[i] = pack([x.id for x in encode(space + t)])
-                elif (m := SIMPLE.fullmatch(t)) and m[2]:
-                    marked[i] = m  # the word alone is mostly known: texts hold it without marks too
-                else:
-                    ids[i] = self.piece(t, self.space)
-            if marked:
-                words = dict.fromkeys(m[1] for m in marked.values())
-                rows = dict(zip(words, self.places(pa.array(list(words))).tolist()))
-                for i, m in marked.items():
-                    r = rows[m[1]]
-                    ids[i] = self.flat[self.ends[r] : self.ends[r + 1]].tobytes() + self.mark(m[2])
-            # A word that came with marks may be among the new ones too, and then is there by now.
-            again = pc.index_in(pa.array(new), value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False) if marked else np.full(len(new), -1)
-            here = np.flatnonzero(again < 0)
-            again = again.astype(np.int64)
-            again[here] = len(self.known) + np.arange(len(here))
-            own = [ids[i] for i in here]
-            self.known = pa.concat_arrays([self.known, pa.array(new).take(pa.array(here))])
-            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(own), "<i4")])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, own), np.int64, len(own))) // 4])
-            at = at.astype(np.int64)
-            at[at < 0] = again
-        return at
+        new = pieces.filter(pc.is_null(at))
+        rows = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(new):
+            cut = pc.extract_regex(new, MANY)
+            simple = cut.is_valid().to_numpy(zero_copy_only=False)
+            cut = cut.filter(pa.array(simple))
+            coded, tails = cut.field("word").dictionary_encode(), cut.field("tail").dictionary_encode()
+            found = np.full(len(new), -1, np.int64)
+            # A word with marks has the word's ids, which texts mostly hold alone too, and the marks'.
+            word = self.words(coded.dictionary)[coded.indices.to_numpy()]
+            marked = pc.not_equal(cut.field("tail"), "").to_numpy(zero_copy_only=False)
+            found[simple] = np.where(marked, -1, word)
+            marks = pa.array([self.mark(t) if t else b"" for t in tails.dictionary.to_pylist()], pa.binary())
+            both = pc.binary_join_element_wise(self.ids.take(pa.array(word[marked])), marks.take(tails.indices.filter(pa.array(marked))), b"")
+            here = np.flatnonzero(simple)[marked]
+            found[here] = self.add(new.take(pa.array(here)), both)
+            rest = new.filter(pa.array(~simple))
+            found[~simple] = self.add(rest, pa.array([self.piece(t, self.space) for t in rest.to_pylist()], pa.binary()))
+            rows[rows < 0] = found
+        return rows
 
     def encode(self, texts: pa.Array, end: int) -> pa.ListArray:
         """The ids of each text, and the end id."""
@@ -167,19 +177,21 @@ class PieceStore:
         odd = np.flatnonzero(pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)) if self.cuts else np.arange(len(texts))
         mask = np.zeros(len(texts), bool)
         mask[odd] = True
-        words = pc.split_pattern(pc.if_else(pa.array(mask), "", texts), " ")
+        # A line starts a piece too: its end mark and what follows it.
+        words = pc.split_pattern(pc.replace_substring(pc.if_else(pa.array(mask), "", texts), "\n", " \n"), " ")
         bounds = words.offsets.to_numpy().astype(np.int64)
         coded = words.flatten().dictionary_encode()
         index = coded.indices.to_numpy()
         firsts, own = np.unique(index[bounds[:-1]], return_inverse=True)
         rows = self.places(coded.dictionary)[index]
+        known, ends = _layout(self.ids)
         # After the store's pieces: firsts, which have no space before them, texts encoded whole, and the end.
         more = [self.first(t) for t in coded.dictionary.take(pa.array(firsts)).to_pylist()]
         n, wide = len(self.known), len(more)
         more += self.whole(texts.take(pa.array(odd)).to_pylist()) if len(odd) else []
         more.append(np.array([end], "<i4").tobytes())
-        flat = np.concatenate([self.flat, np.frombuffer(b"".join(more), "<i4")])
-        ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, more), np.int64, len(more))) // 4])
+        flat = np.concatenate([known, np.frombuffer(b"".join(more), "<i4")])
+        ends = np.concatenate([ends, ends[-1] + np.cumsum(np.fromiter(map(len, more), np.int64, len(more))) // 4])
         docs = np.arange(len(texts))
         heads = bounds[:-1] + docs  # each text has one row more, its end
         every = np.full(len(rows) + len(texts), n + len(more) - 1, np.int64)
@@ -192,6 +204,13 @@ class PieceStore:
         return pa.ListArray.from_arrays(pa.array(upto[np.append(heads, len(every))].astype(np.int32)), pa.array(values))
 
 
+def _layout(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of an array of packed ids one after another, and where each entry's begin and end."""
+    _, ends, flat = ids.buffers()
+    ends = np.frombuffer(ends, np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64) // 4
+    return np.frombuffer(flat or b"", "<i4"), ends
+
+
 def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """Batches put together to some ``size`` bytes of texts."""
     held, n = [], 0
@@ -207,9 +226,7 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[pa.
 
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
     """A file's rows: doc_id, ids, and how many ids the rows before have."""
-    store = _kept.get(path)
-    if store is None:
-        store = _kept[path] = PieceStore(path)
+    store = held(path, lambda: PieceStore(path))
     total = 0
     for batch in chunks(batches):
         ids = store.encode(batch.column(1), end)
