@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -90,17 +90,18 @@ def id_crc(col: str = "doc_id") -> Column:
 
 
 def bounded(df: DataFrame, by: str, rows_each: int, key: str = "doc_id") -> DataFrame:
-    """``rows_each`` rows of each value of ``by`` at most, those of least hash of ``key`` (of a seed and the id).
+    """About ``rows_each`` rows of each value of ``by``, those of least hash of ``key``; twice as many over all values at most.
 
-    Only to fit a classifier. ``by`` has few values (classes, a bounded list of languages). By their
-    counts, a row a value, a hash lets twice as many rows through as are asked for; those are ranked.
+    Only to fit a classifier. ``by`` has few values (classes, a bounded list of languages): their counts,
+    a row a value, come to the driver and set what part of the hashes is taken. Where a key repeats so
+    often that this is too many rows, those of least hash stay.
     """
-    rank, draw, n = fresh(df, "_rank", "_draw", "_n")
-    counts = df.groupBy(by).agg(F.count("*").alias(n))
-    some = df.join(F.broadcast(counts), by).withColumn(draw, F.xxhash64(F.lit(7), F.col(key)))
-    some = some.filter(F.pmod(F.col(draw), F.lit(1 << 40)) * F.col(n).cast("double") < (2 * rows_each + 100) * float(1 << 40))
-    order = Window.partitionBy(by).orderBy(F.pmod(F.col(draw), F.lit(1 << 40)), draw, F.col(key))
-    return some.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= rows_each).select(*df.columns)
+    draw, most = F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(1 << 40)), 1 << 40
+    counts = df.groupBy(by).agg(F.count("*").alias("n")).collect()
+    keep = F.lit(False)
+    for value, n in counts:
+        keep = keep | (F.col(by).eqNullSafe(F.lit(value)) & (draw < int(most * min(1.0, rows_each / n))))
+    return df.filter(keep).orderBy(draw, key).limit(2 * rows_each * max(1, len(counts)))
 
 
 _held: dict = {}

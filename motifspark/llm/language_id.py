@@ -15,7 +15,7 @@ Defined cases: a null text, or one without a letter, is ``und`` with score 0. Ti
 first language by code point. Without training rows every text is ``und``; an empty table
 gives no rows. Rows repeating a doc_id are answered each; a null doc_id is carried along.
 Columns other than doc_id and text take part in no prediction, whatever their names; those
-asked for are carried as they are. The fit: ``SAMPLE`` whole texts a language at most, chosen
+asked for are carried as they are. The fit: about ``SAMPLE`` whole texts a language, chosen
 by a hash of doc_id, of the ``LANGS`` languages with most rows; a word of over ``TAUGHT`` letters
 teaches nothing.
 """
@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 
 from .common import WordScores, bounded, by_document, grid, held, over_texts, spans, text_chunks
 
-#: Numbers that are no decimal digits (such as fractions) are word characters too, but no letters.
-NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{NUMBERS}]+")
+LETTERS = re.compile(r"[^\W\d_]+")
+#: Numbers that are no decimal digits (such as fractions) are word characters too, but no letters. Those of
+#: 16 bits apart: such a class is one table, one with wider characters a list that is searched for each character.
+NUMBERS = [c for c in map(chr, range(128, 0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()]
+NARROW, WIDE = (re.compile("[" + "".join(c for c in NUMBERS if (c > "\uffff") == wide) + "]") for wide in (False, True))
 SAMPLE, LANGS, LONGEST, TAUGHT = 400, 200, 8, 600
 CELLS, BLOCK = 400_000, 4096
 MARK = "▁"
@@ -42,7 +44,14 @@ FLOOR = 1e-8
 
 
 def letters_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    if not text:
+        return []
+    text = text.lower()
+    if not text.isascii():
+        text = NARROW.sub(" ", text)
+        if len(text.encode("utf-16-le", "surrogatepass")) > 2 * len(text):
+            text = WIDE.sub(" ", text)
+    return LETTERS.findall(text)
 
 
 def vocabulary_pieces(name: str = "piece_bpe_32k.model") -> list[str]:
@@ -203,7 +212,7 @@ def train(rows: DataFrame, sample: int = SAMPLE, pieces: list[str] | None = None
     """Fit on a bounded sample of ``rows`` (doc_id, text, lang): ids are chosen first, their texts joined."""
     known = rows.filter("lang is not null and text is not null and doc_id is not null")
     langs = [r["lang"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()]
-    ids = bounded(known.filter(F.col("lang").isin(langs)).select("doc_id", "lang"), "lang", sample)  # most * sample ids at most: may be broadcast
+    ids = bounded(known.filter(F.col("lang").isin(langs)).select("doc_id", "lang"), "lang", sample)  # 2 * most * sample ids at most: may be broadcast
     own = known.select("doc_id", "lang", "text").join(F.broadcast(ids.distinct()), ["doc_id", "lang"])
     counts: dict[str, Counter] = {}
     for row in own.toLocalIterator():

@@ -12,7 +12,7 @@ Without labelled rows every score is 0.5; an empty table gives no rows. Rows rep
 doc_id are answered each; a null doc_id is carried along. Tokens of over ``LONGEST``
 characters are read in segments of that many, each a token; texts of any length are read
 whole. Columns other than doc_id and text are carried as they are where asked for, whatever
-their names. The sample: ``SAMPLE`` labelled rows a class at most.
+their names. The sample: about ``SAMPLE`` labelled rows a class, twice as many in all at most.
 """
 
 from __future__ import annotations
@@ -130,7 +130,7 @@ def train(rows: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Qual
 def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: int, held: int, sample: int) -> DataFrame:
     """Texts of a bounded sample of the labels whose id is outside the held-out fold."""
     own = labels.filter((F.pmod(id_crc(), F.lit(fold)) != held) & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias(label))
-    ids = bounded(own, label, sample)  # sample rows a class at most, so it may be broadcast
+    ids = bounded(own, label, sample)  # twice the sample at most, so it may be broadcast
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
 
