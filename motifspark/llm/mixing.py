@@ -11,8 +11,8 @@ blocks join the documents they overlap by index. Of a source's last slot only th
 the target still lacks are taken, so a target is met to the word.
 
 The prefix sums that place documents in a stream are two-level (bucket totals, then within a
-bucket); there are as many buckets as keep each at some ``BUCKET_ROWS`` rows, so a source that
-holds most rows is spread over many tasks.
+bucket); there are as many buckets as a bucket has rows, the square root of all, so both levels
+stay small and a source that holds most rows is spread over many tasks.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order.
 Documents of size 0 are taken 0 times, and a source without words has target 0. Texts of any
@@ -25,6 +25,8 @@ rows fix the result: reruns agree.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ from .common import fresh, parts, written
 
 #: Spaces as the contracts count them.
 WORDS = r"[^\x20\x09-\x0D]+"
-BLOCK, BUCKET_ROWS, ROUNDS, SHARDS = 256, 4096, 12, 16
+BLOCK, ROUNDS, SHARDS = 256, 12, 16
 
 
 def n_words(text: Column) -> Column:
@@ -134,7 +136,7 @@ def slots(plan: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
 
 def positions(sizes: DataFrame) -> DataFrame:
     """``sizes`` (row, doc_id, source, size) with ``at``: the words of the source before the document."""
-    buckets = max(1, -(-sizes.count() // BUCKET_ROWS))
+    buckets = 1 + math.isqrt(sizes.count())
     bucket = F.pmod(F.xxhash64("doc_id", "row"), F.lit(buckets))
     docs = sizes.withColumn("bucket", bucket)
     totals = docs.groupBy("source", "bucket").agg(F.sum("size").alias("t"))
