@@ -27,7 +27,6 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
-from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -68,10 +67,17 @@ def _hash(kind: str, text: str, size: int) -> int:
 class Path:
     """The open elements above a block: what the innermost adds to the path of the one around it."""
 
-    __slots__ = ("above", "parts")
+    __slots__ = ("above", "parts", "kids")
 
-    def __init__(self, above: "Path | None", parts: tuple[int, ...]):
-        self.above, self.parts = above, parts
+    def __init__(self, above: "Path | None" = None, parts: tuple[int, ...] = ()):
+        self.above, self.parts, self.kids = above, parts, {}
+
+    def below(self, parts: tuple[int, ...]) -> "Path":
+        """The path of an element in this one: the same object for the same parts."""
+        out = self.kids.get(parts)
+        if out is None:
+            out = self.kids[parts] = Path(self, parts)
+        return out
 
     def all(self) -> list[int]:
         out, at = [], self
@@ -81,9 +87,6 @@ class Path:
         return out
 
 
-ROOT = Path(None, ())
-
-
 class Block:
     __slots__ = ("path", "text", "linked", "role")
 
@@ -117,11 +120,12 @@ def closed(page: str) -> dict[int, int]:
     return out
 
 
-def blocks_of(page: str | None, marks: bool = False) -> list[Block]:
-    """The blocks of a page in order. ``marks``: control characters name the parts' roles (training)."""
+def blocks_of(page: str | None, marks: bool = False, root: Path | None = None) -> list[Block]:
+    """The blocks of a page in order. ``marks``: control characters name the parts' roles (training). ``root``: one for pages whose paths are to be shared."""
+    root = root or Path()
     out: list[Block] = []
     stack: list[tuple[str, Path]] = []
-    named: Counter[str] = Counter()  # the open elements by name
+    named: dict[str, int] = {}  # the open elements by name
     buffer: list[str] = []
     linked, in_link, hidden, role = 0, 0, 0, ""
 
@@ -131,7 +135,7 @@ def blocks_of(page: str | None, marks: bool = False) -> list[Block]:
             raw = "".join(buffer)
             text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
             if text:
-                out.append(Block(stack[-1][1] if stack else ROOT, text, linked, role))
+                out.append(Block(stack[-1][1] if stack else root, text, linked, role))
             buffer.clear()
         linked = 0
 
@@ -159,12 +163,16 @@ def blocks_of(page: str | None, marks: bool = False) -> list[Block]:
 
     def last(tags: set[str], stops: set[str]) -> int | None:
         """Where the innermost of ``tags`` is open, not looking past ``stops``."""
-        if any(named[t] for t in tags):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in tags:
-                    return k
-                if stack[k][0] in stops:
-                    return None
+        for t in tags:
+            if named.get(t):
+                break
+        else:
+            return None
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] in tags:
+                return k
+            if stack[k][0] in stops:
+                return None
         return None
 
     page = page or ""
@@ -211,10 +219,10 @@ def blocks_of(page: str | None, marks: bool = False) -> list[Block]:
         if tag in UNSHOWN and m.start() in ends:
             at = ends[m.start()]
         elif not attributes.endswith("/"):
-            above = stack[-1][1] if stack else ROOT
+            above = stack[-1][1] if stack else root
             plain = hidden or tag in INLINE or tag in UNSHOWN
-            stack.append((tag, above if plain else Path(above, _part(tag, attributes))))
-            named[tag] += 1
+            stack.append((tag, above if plain else above.below(_part(tag, attributes))))
+            named[tag] = named.get(tag, 0) + 1
             in_link += tag == "a"
             hidden += tag in UNSHOWN
     if at < len(page):
@@ -405,7 +413,8 @@ def trained(pages: int = 420, seed: int = 11) -> Labeller:
 
 
 def main_texts(model: Labeller, pages: list[str | None]) -> list[str]:
-    blocks = [blocks_of(p) for p in pages]
+    root = Path()
+    blocks = [blocks_of(p, root=root) for p in pages]
     return [" ".join(b.text for b, ok in zip(own, keep) if ok) for own, keep in zip(blocks, model.label(blocks))]
 
 
