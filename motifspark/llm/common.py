@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -104,6 +106,16 @@ def bounded(df: DataFrame, by: str, rows_each: int, key: str = "doc_id") -> Data
     return df.filter(keep).orderBy(draw, key).limit(2 * rows_each * max(1, len(counts)))
 
 
+def released() -> None:
+    """Give freed memory back to the system: a driver that has fitted a model else keeps the room its sample took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 _held: dict = {}
 
 

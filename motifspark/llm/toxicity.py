@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordScores, bounded, by_document, held, kept_texts, over_texts, text_chunks
+from .common import WordScores, bounded, by_document, held, kept_texts, over_texts, released, text_chunks
 
 SAMPLE = 2000
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
@@ -144,6 +144,23 @@ def tokens_of(text: str | None) -> list[str]:
     return TOKEN.findall(text.lower()) if text else []
 
 
+def contexts(toks: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
+    """For each word, by number, how many different pairs of neighbours it has in the texts; -1 stands beyond a text's ends."""
+    toks = [t for t in toks if len(t)]
+    own = np.concatenate([np.zeros(0, np.int32), *toks])
+    lens = np.array([len(t) for t in toks], np.int64)
+    ends = np.cumsum(lens)
+    before, after = np.roll(own, 1), np.roll(own, -1)
+    before[ends - lens] = after[ends - 1] = -1
+    at = np.flatnonzero(wanted[own])
+    own, before, after = own[at], before[at], after[at]
+    order = np.lexsort((after, before, own))
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([x[order[1:]] != x[order[:-1]] for x in (own, before, after)], axis=0)
+    return np.bincount(own[order[new]], minlength=len(wanted))
+
+
 class ToxicModel:
     def __init__(self):
         self.lexicon, self.machine, self.weights = Lexicon(), grammar(), PRIOR.copy()
@@ -172,57 +189,55 @@ class ToxicModel:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
     def fit(self, texts: list[str], labels: np.ndarray) -> "ToxicModel":
-        one: dict[str, str] = {}  # a word is kept once
-        toks = [[one.setdefault(w, w) for w in tokens_of(t)] for t in texts]
-        self._learn_words(toks, labels)
-        x = np.zeros((len(toks), len(KINDS)))
-        known: dict[str, tuple[int, float]] = {}
-        for i, t in enumerate(toks):
-            for w in t:
-                if w not in known:
-                    known[w] = tuple(self.lexicon.values([w])[0])
-            v = np.array([known[w] for w in t]) if t else np.zeros((0, 2))
-            x[i] = self.matches(v[:, 0], v[:, 1])
+        ids: dict[str, int] = {}  # a word is kept once, texts as numbers of words: the driver has little room
+        toks = [np.fromiter((ids.setdefault(w, len(ids)) for w in tokens_of(t)), np.int32) for t in texts]
+        words = list(ids)
+        del ids
+        self._learn_words(words, toks, np.asarray(labels))
+        v = self.lexicon.values(words) if words else np.zeros((0, 2))
+        x = np.array([self.matches(v[t, 0], v[t, 1]) for t in toks]).reshape(len(toks), len(KINDS))
         self._learn_kinds(x, labels)
         return self
 
-    def _learn_words(self, toks: list[list[str]], labels: np.ndarray, longest: int = 7, proof: float = 16.0) -> None:
+    def _learn_words(self, words: list[str], toks: list[np.ndarray], labels: np.ndarray, longest: int = 7, proof: float = 16.0) -> None:
         """Insults: words, and beginnings of words, that stand almost only in toxic texts."""
         def beginnings(w: str) -> Iterator[str]:
             yield from (w[:k] for k in range(3, min(len(w) - 1, longest) + 1))
             yield w + "$"
 
-        mass = [1 + sum(len(t) for t, y in zip(toks, labels) if y == k) for k in (0, 1)]
+        sides = [[t for t, y in zip(toks, labels) if y == k] for k in (0, 1)]
+        mass = [1 + sum(map(len, side)) for side in sides]
         gain = math.log(sum(mass) / mass[1])  # what one context is worth
-
-        def counted(label: int, known=None) -> Counter:
-            return Counter(b for t, y in zip(toks, labels) if y == label for w in t if w not in ".!?;\n\r" for b in beginnings(w) if known is None or b in known)
+        times = [np.bincount(np.concatenate([np.zeros(0, np.int32), *side]), minlength=len(words)) for side in sides]
+
+        def summed(counts: np.ndarray, known=None) -> Counter:
+            out = Counter()
+            for i in np.flatnonzero(counts).tolist():
+                if words[i] not in ".!?;\n\r":
+                    for b in beginnings(words[i]):
+                        if known is None or b in known:
+                            out[b] += int(counts[i])
+            return out
 
         # What is common enough in toxic texts; of that, what is not mostly clean: the clean side is counted for no other.
-        common = {b: n for b, n in counted(1).items() if n * gain >= proof}
-        clean = counted(0, common)
+        common = {b: n for b, n in summed(times[1]).items() if n * gain >= proof}
+        clean = summed(times[0], common)
         maybe = {b for b, n in common.items() if clean[b] < 20 * n}
-        seen: list[dict[str, set[int]]] = [{}, {}]  # hashes of contexts
-        words: dict[str, set[str]] = {}  # a beginning's words in toxic texts
-        for t, y in zip(toks, labels):
-            for i, w in enumerate(t):
-                own = maybe.intersection(beginnings(w))
-                if own:
-                    context = hash((w, t[i - 1] if i else "", t[i + 1] if i + 1 < len(t) else ""))
-                    for b in own:
-                        seen[y].setdefault(b, set()).add(context)
-                        if y:
-                            words.setdefault(b, set()).add(w)
+        del common, clean
+        wanted = np.array([not maybe.isdisjoint(beginnings(w)) for w in words], bool)
+        # A context is a word and those beside it, so a beginning has as many as its words have together.
+        seen = [summed(contexts(side, wanted), maybe) for side in sides]
+        spread = summed(np.minimum(times[1], 1), maybe)  # a beginning's words in toxic texts
         known: set[str] = set()  # beginnings that are in the trie
         for b in sorted(seen[1], key=lambda x: (len(x) - x.endswith("$"), x)):
             whole = b.endswith("$")
             text = b.rstrip("$")
             if any(text[:k] in known for k in range(3, len(text))):
                 continue
-            bad, good = len(seen[1][b]), len(seen[0].get(b, ()))
+            bad, good = seen[1][b], seen[0][b]
             if bad * gain < proof or good * 8 > bad:
                 continue
-            if not whole and len(words[b]) < 3:
+            if not whole and spread[b] < 3:
                 continue  # a beginning must carry several words
             odds = math.log((bad + 0.5) / mass[1]) - math.log((good + 0.5) / mass[0])
             self.lexicon.add(text, INSULT, min(1.25, max(0.2, (odds - 2) / 4)), whole)
@@ -250,7 +265,13 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> ToxicModel:
     own = rows.filter(F.col("toxic").isin(0, 1) & F.col("text").isNotNull()).select("doc_id", "toxic", "text")
     pdf = bounded(own, "toxic", sample).toPandas().sort_values(["doc_id", "text"])
     model = ToxicModel()
-    return model.fit(list(pdf["text"]), pdf["toxic"].to_numpy(np.int64)) if pdf["toxic"].nunique() == 2 else model
+    texts, labels = list(pdf["text"]), pdf["toxic"].to_numpy(np.int64)
+    del pdf
+    if len(set(labels.tolist())) == 2:
+        model.fit(texts, labels)
+    del texts
+    released()
+    return model
 
 
 def _finder(spark: SparkSession, model: ToxicModel):

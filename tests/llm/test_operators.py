@@ -2,6 +2,7 @@ import html
 import itertools
 import math
 import random
+import tracemalloc
 import zlib
 
 import duckdb
@@ -756,3 +757,20 @@ def test_columns_with_clashing_names(spark, docs, tmp_path):
     assert own(got) == n and got.select("shard_").distinct().count() == 24
     for q in (simhash_dedup.near_duplicates, mixing.drawn_words, hilbert_shards.sharded, token_store.tokenised):
         assert q(more).count() == n
+
+
+def test_toxic_fit_counts_contexts_by_word_and_stays_small():
+    rng = random.Random(6)
+    toks = [np.array([rng.randrange(5) for _ in range(rng.randrange(9))], np.int32) for _ in range(40)]
+    wanted = np.array([True, False, True, True, False])
+    brute = {(w, t[i - 1] if i else -1, t[i + 1] if i + 1 < len(t) else -1) for t in (x.tolist() for x in toks) for i, w in enumerate(t)}
+    assert toxicity.contexts(toks, wanted).tolist() == [sum(w == k for w, _, _ in brute) if wanted[k] else 0 for k in range(5)]
+    assert toxicity.contexts([], wanted).tolist() == [0] * 5
+    word = lambda start: start + "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = [" ".join(word("zork") if i % 2 else word("fine") for _ in range(300)) for i in range(200)]
+    tracemalloc.start()
+    model = toxicity.ToxicModel().fit(texts, np.arange(200) % 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.lexicon.read("zorkzzz")[0] == toxicity.INSULT and model.lexicon.read("finezzz")[0] == toxicity.OTHER
+    assert peak < 15e6, peak  # sets of contexts for every beginning took 24 MB
