@@ -96,3 +96,13 @@ def test_closing_deals_no_row_for_each_neighbour(spark, monkeypatch):
     stages = {s for j in known.getJobIdsForGroup("dealt") for s in known.getJobInfo(j).stageIds}
     most = max(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
     assert most < 3 * 100 * n  # by rows: 100 * n * n
+
+
+def test_pairs_of_a_large_group_take_little_room(spark, tmp_path):
+    """Each row of the large group met a few values in turn compresses; each of a few met all of them took 11 bits and more a pair."""
+    n = 2100
+    df = spark.range(n).selectExpr("9L as m0", "id * 8 + 2 as m1")
+    direct._paired(df, ["m0"], "m1", "m2", n, n * n).write.parquet(str(tmp_path / "pairs"))
+    out = spark.read.parquet(str(tmp_path / "pairs"))
+    assert out.distinct().count() == out.filter("m1 <> m2").count() == n * (n - 1)
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.8 * n * n
